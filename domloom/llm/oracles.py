@@ -23,3 +23,35 @@ r(doc_id, root) AS (
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.root) AS component_id, n.doc_id = min(r.root) AS kept
 FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
 """
+
+OP2 = rf"""
+WITH d AS (SELECT doc_id, coalesce({WORDS.format("text")}, []) AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS g FROM x),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS later FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f WHERE later),
+l AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (
+  SELECT d.doc_id, d.w, list_filter(d.w, lambda x, i: NOT list_contains(coalesce(l.gone, []), i)) AS kept
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM k
+"""
+
+ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP3 = rf"""
+WITH b AS (SELECT item_id::VARCHAR AS item, coalesce({ALNUM.format(LOWER)}, []) AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' ')) END) AS g,
+    least(len(w), 10) AS n FROM b),
+d AS (SELECT doc_id, coalesce({ALNUM.format(LOWER)}, []) AS w FROM documents),
+lengths AS (SELECT DISTINCT n FROM bw),
+x AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n),
+h AS (SELECT x.doc_id, x.i, x.n, bw.item FROM x JOIN bw ON bw.n = x.n AND bw.g = array_to_string(x.w[x.i:x.i+x.n-1], ' ')),
+p AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.items, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
