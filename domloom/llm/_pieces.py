@@ -63,3 +63,10 @@ def load_model(path: str) -> tuple[list[tuple[str, float, int]], dict[int, objec
 def load_pieces(path: str) -> list[str]:
     """The ordinary pieces of a SentencePiece model file."""
     return [p for p, _, kind in load_model(path)[0] if kind == NORMAL]
+
+
+def pattern() -> str:
+    """The pattern that the byte-level vocabularies split text by."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN

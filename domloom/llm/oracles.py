@@ -55,3 +55,60 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n_hit, 0)::BIGINT AS n_
   sha256(coalesce(t.items, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
+
+WORD_LINE = r"regexp_matches(x, '[^\x20\x09-\x0D]')"
+OP6 = rf"""
+WITH d AS (SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {WORD_LINE}) AS l FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(l) - 1)) AS i, l FROM d WHERE len(l) >= 3),
+g AS (SELECT doc_id, i, array_to_string(l[i:i+2], chr(10)) AS g FROM w),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS later FROM g),
+c AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM f WHERE later),
+r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (
+  SELECT d.doc_id, d.l, r.gone, CASE WHEN r.gone IS NULL THEN coalesce(d.text, '')
+    ELSE array_to_string(list_filter(d.l, lambda x, i: NOT list_contains(r.gone, i)), chr(10)) END AS kept
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id)
+SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed_lines, sha256(kept) AS kept_sha256 FROM k
+"""
+
+_RULES = """n_words >= 20 AND mean_word_chars BETWEEN 2.0 AND 14.0 AND symbol_ratio <= 0.2 AND n_stop_words >= 2 AND alpha_word_ratio >= 0.5
+  AND upper_ratio <= 0.6 AND dup_line_ratio <= 0.5 AND bullet_line_ratio <= 0.9 AND ellipsis_line_ratio <= 0.4"""
+
+
+def _op10(stop: list[str]) -> str:
+    words = ", ".join(f"'{w}'" for w in stop)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {WORD_LINE}) AS l FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS g FROM x),
+f AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) > 1 AS again FROM g),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM f WHERE again) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+    len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^\pL]+')), [{words}])) AS n_stop_words,
+    length(regexp_replace(text, '[^\pL]+', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS uppers,
+    len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) AS alpha, len(l) AS n_lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS bullets,
+    len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS dots
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+s AS (
+  SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars,
+    CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_ratio, CASE WHEN n_words > 0 THEN alpha / n_words ELSE 0 END AS alpha_word_ratio,
+    CASE WHEN letters > 0 THEN uppers / letters ELSE 0 END AS upper_ratio, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
+    CASE WHEN n_lines > 0 THEN bullets / n_lines ELSE 0 END AS bullet_line_ratio, CASE WHEN n_lines > 0 THEN dots / n_lines ELSE 0 END AS ellipsis_line_ratio,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ({_RULES}) AS kept FROM s
+"""
+
+
+def _stop_words() -> list[str]:
+    from .quality_rules import STOP_WORDS
+
+    return sorted(set(STOP_WORDS))
+
+
+OP10 = _op10(_stop_words())

@@ -13,6 +13,8 @@ from ._features import BITS, word_grams
 
 SAMPLE = 6000
 EPOCHS = 3
+#: A score from here on predicts label 1.
+THRESHOLD = 0.3
 
 
 class Ftrl:
