@@ -10,24 +10,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._features import BITS
-from ._words import ALNUM, LOWER, RINGS, U, buffers, chunks, mix, spans
+from ._words import ALNUM, LOWER, RINGS, U, buffers, chunks, mix, randoms, signed, spans
+from .minhash import shingle_sets
 
 SAMPLE = 16_000
 EPOCHS = 400
 GRADES = 4
-MARKERS = 256
+MARKERS = 512
+#: Lengths in bytes of the word beginnings that are features.
+STEMS = (4, 5, 6, 8)
 
 
 def counts(column: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text the sorted distinct hashed words and how often each occurs. None for a text without words."""
+    """For each text the sorted distinct hashed features and how often each occurs; none for a text without words.
+
+    Features are lower-cased words, and the first bytes of longer words, so that forms of one stem teach together.
+    """
     data, off = buffers(column)
     mask = U((1 << bits) - 1)
     for i, j in chunks(off):
         piece = LOWER[data[off[i] : off[j]]]
         start, end, first = spans(piece, off[i : j + 1] - off[i], ALNUM)
-        words = (RINGS[0].words(piece, start, end) & mask).astype(np.int64)
+        found = [RINGS[0].words(piece, start, end) & mask]
+        for n in STEMS:
+            stem = mix(RINGS[1].words(piece, start, np.minimum(end, start + n)) + U(n)) & mask
+            found.append(np.where(end - start > n, stem, found[0]))
+        found = np.stack(found).astype(np.int64)
         for r in range(j - i):
-            yield np.unique(words[first[r] : first[r + 1]], return_counts=True)
+            block = found[:, first[r] : first[r + 1]]
+            index, times = np.unique(block, return_counts=True)
+            yield index, times
 
 
 def _markers(index: list[np.ndarray], toxic: np.ndarray, bits: int) -> np.ndarray:
@@ -41,16 +53,28 @@ def _markers(index: list[np.ndarray], toxic: np.ndarray, bits: int) -> np.ndarra
     sure = odds * np.sqrt(seen[1] + seen[0])
     out = np.zeros(size)
     top = np.argsort(-sure, kind="stable")[:MARKERS]
-    top = top[(odds[top] > 2.5) & (seen[1][top] >= max(3, 0.01 * n[1]))]
+    top = top[(odds[top] > 4.0) & (seen[1][top] >= max(3, 0.02 * n[1]))]
     out[top] = odds[top]
     return out
 
 
-def _one_of_copies(index: list[np.ndarray]) -> np.ndarray:
-    """Rows to learn from: of texts that share the smallest hash of their words, as near copies mostly do, the first. Words
-    of one much-copied text would look like words of its label."""
-    low = np.array([mix(i.astype(U)).min() if len(i) else 0 for i in index], U)
-    return np.sort(np.unique(low, return_index=True)[1])
+def _minima(column: pa.Array) -> list[list[int]]:
+    """Four minima over the five-word shingles of each text; near copies nearly always share one."""
+    flips = randoms(4, 21)[:, None]
+    return [signed(mix(s[None] ^ flips).min(1)).tolist() if len(s) else [] for s in shingle_sets(column, 5)]
+
+
+def _one_of_copies(minima: list[list[int]]) -> np.ndarray:
+    """Rows to learn from: a text goes if it shares one of its minima with an earlier one. Words of one much-copied text
+    would look like words of its label."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for row, found in enumerate(minima):
+        own = set(enumerate(found))
+        if not own & seen:
+            out.append(row)
+        seen |= own
+    return np.array(out, np.int64)
 
 
 def grades(index: list[np.ndarray], times: list[np.ndarray], toxic: np.ndarray, levels: int, bits: int) -> np.ndarray:
@@ -69,18 +93,23 @@ def grades(index: list[np.ndarray], times: list[np.ndarray], toxic: np.ndarray,
 class CumulativeLink:
     """P(grade <= k) = logistic(theta[k] - w.x): one weight vector for all of the ordered thresholds."""
 
-    def __init__(self, weights: np.ndarray, theta: np.ndarray):
-        self.w, self.theta = weights, theta
+    def __init__(self, weights: np.ndarray, theta: np.ndarray, useful: np.ndarray):
+        self.w, self.theta, self.useful = weights, theta, useful
+
+    def eta(self, index: np.ndarray, times: np.ndarray) -> float:
+        at, value = _row(index, times, self.useful)
+        return float(self.w[at] @ value) if len(at) else 0.0
 
     def above(self, eta: np.ndarray) -> np.ndarray:
         """P(grade > k), a column for each threshold."""
         return 1.0 / (1.0 + np.exp(np.clip(self.theta[None] - np.asarray(eta)[:, None], -35, 35)))
 
     @staticmethod
-    def fit(index: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray, levels: int, size: int, epochs: int = EPOCHS, rate: float = 0.5, l2: float = 1e-7) -> CumulativeLink:
-        """Full-batch AdaGrad on the likelihood; thresholds are a first one plus positive gaps, so they stay in order."""
+    def fit(index: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray, levels: int, size: int, epochs: int = EPOCHS, rate: float = 0.5, l2: float = 1e-6, useful: np.ndarray | None = None) -> CumulativeLink:
+        """Full-batch AdaGrad on the likelihood; thresholds are a first one plus positive gaps, so they stay in order, and
+        weights of marked features don't go below 0."""
         if not len(index):
-            return CumulativeLink(np.zeros(size, np.float32), np.full(levels - 1, 35.0))
+            return CumulativeLink(np.zeros(size, np.float32), np.full(levels - 1, 35.0), useful)
         row = np.repeat(np.arange(len(index)), [len(i) for i in index])
         at, v = np.concatenate(index), np.concatenate(value)
         w, gw = np.zeros(size), np.full(size, 1e-8)
@@ -103,14 +132,20 @@ class CumulativeLink:
             d_base = -np.concatenate([tail[:1], tail[1:] * np.exp(base[1:])])
             gw += g * g
             gb += d_base * d_base
-            w -= rate * g / np.sqrt(gw)
+            w = np.maximum(w - rate * g / np.sqrt(gw), 0.0)
             base -= 0.1 * d_base / np.sqrt(gb)
-        return CumulativeLink(w.astype(np.float32), np.cumsum(np.concatenate([base[:1], np.exp(base[1:])])))
+        return CumulativeLink(w.astype(np.float32), np.cumsum(np.concatenate([base[:1], np.exp(base[1:])])), useful)
 
 
-def _values(times: np.ndarray) -> np.ndarray:
-    """Presence and repetition, not share of the text: a few insults in a long document count in full."""
-    return 1.0 + 0.5 * np.log(times)
+def _row(index: np.ndarray, times: np.ndarray, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sparse row of a text: its marked features, that it has any, and the log of how many. Presence counts, not the
+    share of the text: a few insults in a long document count in full."""
+    keep = useful[index]
+    index, times = index[keep], times[keep]
+    if not len(index):
+        return index, times.astype(float)
+    extra = len(useful)
+    return np.append(index, [extra, extra + 1]), np.concatenate([np.full(len(index), 0.5), [1.0, np.log(times.sum())]])
 
 
 def train(docs: DataFrame, labels: DataFrame, train_on: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE, levels: int = GRADES, bits: int = BITS) -> CumulativeLink:
@@ -128,17 +163,17 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, label: str = "to
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(counts(batch.column(2), bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([t.astype(np.int32) for _, t in found], pa.list_(pa.int32()))], ["h", "mark", "index", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([t.astype(np.int32) for _, t in found], pa.list_(pa.int32())), pa.array(_minima(batch.column(2)), pa.list_(pa.int64()))], ["h", "mark", "index", "times", "minima"])
 
-    got = chosen.mapInArrow(run, "h long, mark double, index array<int>, times array<int>").toArrow().sort_by([("h", "ascending"), ("mark", "ascending")])
+    got = chosen.mapInArrow(run, "h long, mark double, index array<int>, times array<int>, minima array<long>").toArrow().sort_by([("h", "ascending"), ("mark", "ascending")])
     arrays = lambda c: [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in got.column(c)]
     index, times, toxic = arrays("index"), arrays("times"), (got.column("mark").to_numpy() > 0).astype(np.int64)
-    one = _one_of_copies(index)
+    one = _one_of_copies(got.column("minima").to_pylist())
     index, times, toxic = [index[i] for i in one], [times[i] for i in one], toxic[one]
     grade = grades(index, times, toxic, levels, bits)
     useful = _markers(index, toxic, bits) > 0
-    keep = [useful[i] for i in index]
-    return CumulativeLink.fit([i[k] for i, k in zip(index, keep, strict=True)], [_values(t[k]) for t, k in zip(times, keep, strict=True)], grade, levels, 1 << bits)
+    rows = [_row(i, t, useful) for i, t in zip(index, times, strict=True)]
+    return CumulativeLink.fit([i for i, _ in rows], [v for _, v in rows], grade, levels, (1 << bits) + 2, useful=useful)
 
 
 def severity(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_col: str = "text", *, bits: int = BITS) -> DataFrame:
@@ -148,12 +183,12 @@ def severity(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", tex
     which is that of a text without marked language. Other columns are ignored; repeated rows each get their row.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.w, model.theta))
+    shared = spark.sparkContext.broadcast((model.w, model.theta, model.useful))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = CumulativeLink(*shared.value)
         for batch in batches:
-            eta = [float(m.w[i] @ _values(t)) if len(i) else 0.0 for i, t in counts(batch.column(1), bits)]
+            eta = [m.eta(i, t) for i, t in counts(batch.column(1), bits)]
             above = m.above(np.array(eta)) if eta else np.zeros((0, len(m.theta)))
             p = -np.diff(np.hstack([np.ones((len(eta), 1)), above, np.zeros((len(eta), 1))]), axis=1)
             columns = [batch.column(0), pa.array(above.sum(1)), pa.array(p.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= 0.5)]
