@@ -91,3 +91,18 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, weights: np.ndarray, bias: float, text_col: str = "text", *, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
+    """The rows of docs whose text scores at least threshold, all columns as they were. One pass, no shuffle or join."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(weights)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            passed = [sigmoid(float(w[i] @ v) + bias) >= threshold for i, v in word_grams(batch.column(at), bits, True)]
+            yield batch.filter(pa.array(passed, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
