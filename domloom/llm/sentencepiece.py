@@ -6,17 +6,18 @@ goes through the byte arcs instead. The history machine weighs a piece by the on
 costs its negative log probability whatever stands before it. In a merge (BPE) model a pair of pieces costs nothing if
 merging the pair's text gives just that pair, and infinity otherwise: exactly one path over any text has a finite weight,
 and it is the one that the merges give. So the state of a place in the text is its one live path, and the shortest path is
-found in one pass over the composed lattice, in the tropical semiring (min, +).
+found by a search over the lazily composed lattice, in the tropical semiring (min, +).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from ._pieces import BYTE, NORMAL, UNKNOWN, USER, _fields, load_model
 
 SPACE = "▁"
-CACHE = 150_000
+CACHE = 300_000
 PAIRS = 400_000
 
 
@@ -50,15 +51,34 @@ class Codec:
         self.compose = name != "identity"
         self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
         self.longest = max(map(len, self.ids), default=1)
-        # Texts fall apart where no piece can cross: before a space mark that follows other text, and around characters that are in no longer piece.
+        # Texts fall apart where no piece can cross: before a mark that follows other text, around characters that are in no
+        # longer piece, and after a word before a sign, if pieces have no sign after a letter.
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         self.inner_mark = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        alone = "".join(map(re.escape, (c for c in map(chr, range(1, 128)) if c not in joined)))
-        rest = f"[^{SPACE}{alone}]"
-        self.cut = re.compile(f"{SPACE}*{rest}+|{SPACE}+" + (f"|[{alone}]" if alone else "")) if not self.inner_mark else re.compile("(?s).+")
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.reached = {p for p in self.ids if not self.merges or self._merge(p) == [p]}
+        self.splits = self.prefix and not (self.squeeze or self.compose or self.inner_mark)
+        alone = {c for c in map(chr, range(1, 128)) if c not in joined and not c.isalpha()}
+        signs = self._signs() - alone
+        one, two = (f"{''.join(map(re.escape, sorted(x)))}" for x in (alone, signs))
+        cuts = [f"{SPACE}*" + (f"[{two}]*" if two else "") + f"[^{SPACE}{one}{two}]+", *([f"{SPACE}*[{two}]+"] if two else []), f"{SPACE}+", *([f"[{one}]"] if one else [])]
+        self.cut = re.compile("(?s)" + ("|".join(cuts) if not self.inner_mark else ".+"))
+        self.cache: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        #: Piece ids by text, and -1 for texts that only begin a piece: a walk from a place goes on while it finds anything.
+        reached = {p: i for p, i in self.ids.items() if not self.merges or self._merge(p) == [p]}
+        self.steps = {p[:n]: -1 for p in reached for n in range(1, len(p))} | reached
+        plain = [p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else bytes([self.byte_of[i]]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" for i, (p, k) in enumerate(zip(self.text, self.kind, strict=True))]
+        self.plain = pa.array(plain, pa.large_binary())
+
+    def _signs(self) -> set[str]:
+        """Characters that no piece has after a letter or digit: the largest such set that holds only signs."""
+        before: dict[str, set[str]] = {}
+        for p in self.ids:
+            for x, y in zip(p, p[1:], strict=False):
+                before.setdefault(y, set()).add(x)
+        signs = {c for p in self.ids for c in p if not c.isalnum() and c != SPACE and unicodedata.category(c)[0] in "PS"}
+        while bad := {c for c in signs if not before.get(c, set()) <= signs | {SPACE}}:
+            signs -= bad
+        return signs
 
     def normalise(self, text: str) -> str:
         if self.compose:
@@ -81,39 +101,68 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _live(self, before: str, piece: str) -> bool:
+    def _symbol(self, number: int) -> str:
+        """The text of a piece, or of a character that is none (numbered after the pieces)."""
+        return self.text[number] if number < len(self.text) else chr(number - len(self.text))
+
+    def _live(self, key: int, before: int, piece: int) -> bool:
         """Whether the pair's weight is finite."""
-        key = (before, piece)
-        got = self.pairs.get(key)
-        if got is None:
-            got = self._merge(before + piece) == [before, piece]
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = got
+        one, two = self._symbol(before), self._symbol(piece)
+        got = self._merge(one + two) == [one, two]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = got
         return got
 
-    def _path_merges(self, text: str) -> list[str]:
-        n, reached, longest = len(text), self.reached, self.longest
-        last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
-        live, pairs = self._live, self.pairs
-        for s in range(n):
-            before = last[s]
-            if before is None:
-                continue
-            for e in range(s + 1, min(n, s + longest) + 1):
-                piece = text[s:e]
-                if piece in reached or e == s + 1:
-                    ok = not before or (got if (got := pairs.get((before, piece))) is not None else live(before, piece))
-                    if ok:
-                        last[e] = piece
-        out, e = [], n
-        while e:
-            out.append(last[e])
-            e -= len(last[e])
-        return out[::-1]
+    def _arcs(self, text: str, s: int) -> list[tuple[int, int]]:
+        """(end, piece) of the arcs from a place, short ones first."""
+        get, out = self.steps.get, []
+        piece = get(text[s])
+        out.append((s + 1, len(self.text) + ord(text[s]) if piece is None or piece < 0 else piece))
+        if piece is not None:
+            for e in range(s + 2, len(text) + 1):
+                piece = get(text[s:e])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    out.append((e, piece))
+        return out
 
-    def _path_unigram(self, text: str) -> list[str]:
+    def _path_merges(self, text: str) -> list[int]:
+        """The one path of finite weight. The lattice is composed as it is searched, the longest arc of a place first; a
+        place is reached by one finite path at most, so one that leads no further is closed for good."""
+        n, pair, live, arcs = len(text), self.pairs.get, self._live, self._arcs
+        out: list[int] = []
+        begun: list[int] = []
+        left: list[list[tuple[int, int]]] = []
+        shut = bytearray(n + 1)
+        pos, found = 0, arcs(text, 0)
+        while pos < n:
+            while found:
+                e, piece = found.pop()
+                if shut[e]:
+                    continue
+                if out:
+                    key = out[-1] << 21 | piece
+                    ok = pair(key)
+                    if ok is None:
+                        ok = live(key, out[-1], piece)
+                    if not ok:
+                        continue
+                left.append(found)
+                begun.append(pos)
+                out.append(piece)
+                pos = e
+                if e < n:
+                    found = arcs(text, e)
+                break
+            else:
+                shut[pos] = 1
+                found, pos = left.pop(), begun.pop()
+                out.pop()
+        return out
+
+    def _path_unigram(self, text: str) -> list[int]:
         n = len(text)
         low = min(self.score.values(), default=0.0) - 10.0
         cost, last = [0.0] + [float("inf")] * n, [""] * (n + 1)
@@ -125,32 +174,43 @@ class Codec:
                     cost[e], last[e] = cost[s] - score, piece
         out, e = [], n
         while e:
-            out.append(last[e])
+            out.append(self.ids.get(last[e], len(self.text) + ord(last[e][0])))
             e -= len(last[e])
         return out[::-1]
 
-    def _emit(self, part: str) -> tuple[int, ...]:
+    def _emit(self, part: str) -> bytes:
+        """Ids of a part that no piece leaves, as 32-bit numbers."""
         out: list[int] = []
-        for piece in self._path_merges(part) if self.merges else self._path_unigram(part):
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
+        for number in self._path_merges(part) if self.merges else self._path_unigram(part):
+            if number < len(self.text):
+                out.append(number)
             elif self.bytes:
-                out += [self.bytes[b] for b in piece.encode()]
+                out += [self.bytes[b] for b in chr(number - len(self.text)).encode()]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        out = tuple(out)
+        raw = array("i", out).tobytes()
         if len(part) <= 64:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            self.cache[part] = out
-        return out
+            self.cache[part] = raw
+        return raw
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
+    def _parts(self, text: str) -> bytes:
         get, emit = self.cache.get, self._emit
-        return list(chain.from_iterable(got if (got := get(p)) is not None else emit(p) for p in self.cut.findall(self.normalise(text))))
+        return b"".join([got if (got := get(p)) is not None else emit(p) for p in self.cut.findall(text)])
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids of a whole text, as 32-bit numbers."""
+        if not text:
+            return b""
+        if not self.splits or "  " in text or SPACE in text:
+            return self._parts(self.normalise(text))
+        # Single spaces: words are parts with a mark before them, so the cache answers for most of them at once.
+        get, parts = self.cache.get, self._parts
+        return b"".join([got if (got := get(w)) is not None else parts(w) for w in [SPACE + w for w in text.split(" ")]])
+
+    def encode(self, text: str | None) -> list[int]:
+        return array("i", self.encode_bytes(text)).tolist()
 
     def expected(self, text: str) -> str:
         """What decoding an encoded text must give: the normalised text with its spaces back."""
@@ -159,26 +219,24 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; control ids say nothing, bytes that aren't UTF-8 become U+FFFD."""
-        out, raw = [], bytearray()
-        text, byte_of, kind = self.text, self.byte_of, self.kind
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw = bytearray()
-            k = kind[i]
-            if k in (NORMAL, USER):
-                out.append(text[i])
-            elif k == UNKNOWN:
-                out.append(" ⁇ ")
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        whole = "".join(out).replace(SPACE, " ")
+        return self._decoded(self.plain.take(pa.array(ids, pa.int32())).buffers()[2], 0, None) if ids else ""
+
+    def _decoded(self, data, a: int, b: int | None) -> str:
+        whole = (data.to_pybytes() if data is not None else b"")[a:b].decode(errors="replace")
         return whole[1:] if self.prefix and whole[:1] == " " else whole
 
+    def same(self, texts: list[str | None], ids: np.ndarray, offsets: np.ndarray) -> list[bool]:
+        """For each text whether decoding its ids (offsets into ids) gives it back, as normalised. All are decoded at once."""
+        taken = self.plain.take(pa.array(ids))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1]
+        raw = taken.buffers()[2].to_pybytes() if len(ids) else b""
+        cut = ends[offsets].tolist() if len(ids) else [0] * len(offsets)
+        out = []
+        for text, a, b in zip(texts, cut[:-1], cut[1:], strict=True):
+            whole = raw[a:b].decode(errors="replace")
+            out.append(not text or (whole[1:] if self.prefix and whole[:1] == " " else whole) == self.expected(text))
+        return out
+
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
@@ -202,10 +260,12 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", *, ids_col: str
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 texts = part.column(len(names)).to_pylist()
-                ids = [c.encode(t) for t in texts]
-                columns = [*part.columns[: len(names)], pa.array(ids, pa.list_(pa.int32()))]
+                raw = [c.encode_bytes(t) for t in texts]
+                offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int64)
+                ids = np.frombuffer(b"".join(raw), np.int32)
+                columns = [*part.columns[: len(names)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
                 if check_col:
-                    columns.append(pa.array([not t or c.decode(i) == c.expected(t) for t, i in zip(texts, ids, strict=True)], pa.bool_()))
+                    columns.append(pa.array(c.same(texts, ids, offsets), pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*names, ids_col, *[check_col] * bool(check_col)])
 
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
