@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ._store import durable
 SAMPLE = 600
 ROUNDS = 3
 MAX_PIECE = 12
-CACHE = 200_000
+CACHE = 300_000
 LETTERS = re.compile(r"[^\W\d_]{1,32}")
 
 
@@ -29,17 +30,25 @@ class Lattice:
     """The pieces that can cover a word, each in every place. A letter that no piece covers is a piece of its own."""
 
     def __init__(self, pieces: dict[str, int]):
-        self.pieces = pieces
         self.unknown = len(pieces)
-
-    def edges(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end (1 to the length) the (start, piece) of pieces that end there."""
-        w, get, out = "\u2581" + word, self.pieces.get, []
-        for e in range(1, len(w) + 1):
-            found = [(s, p) for s in range(max(0, e - MAX_PIECE), e) if (p := get(w[s:e])) is not None]
-            if not any(s == e - 1 for s, _ in found):
-                found.append((e - 1, self.unknown))
-            out.append(found)
+        #: Pieces by text, and -1 for texts that only begin one: a search goes on while it finds anything.
+        self.steps = {p[:n]: -1 for p in pieces for n in range(1, len(p))} | pieces
+
+    def arcs(self, word: str) -> list[tuple[int, int, int]]:
+        """(start, end, piece) by start, over the word with its mark."""
+        w, get, out = "\u2581" + word, self.steps.get, []
+        n = len(w)
+        for s in range(n):
+            piece = get(w[s : s + 1])
+            out.append((s, s + 1, self.unknown if piece is None or piece < 0 else piece))
+            if piece is None:
+                continue
+            for e in range(s + 2, n + 1):
+                piece = get(w[s:e])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    out.append((s, e, piece))
         return out
 
 
@@ -48,33 +57,36 @@ class Models:
 
     def __init__(self, pieces: dict[str, int], probabilities: list[list[float]]):
         self.lattice, self.p = Lattice(pieces), probabilities
-        self.cache: dict[str, tuple[float, ...]] = {}
-
-    def forward(self, edges: list[list[tuple[int, int]]], p: list[float]) -> float:
-        """Log of the sum over all segmentations."""
-        alpha = [1.0]
-        for found in edges:
-            total = 0.0
-            for s, piece in found:
-                total += alpha[s] * p[piece]
-            alpha.append(total)
-        return math.log(alpha[-1]) if alpha[-1] else -700.0
-
-    def word(self, word: str) -> tuple[float, ...]:
-        got = self.cache.get(word)
-        if got is None:
-            edges = self.lattice.edges(word)
-            got = tuple(self.forward(edges, p) for p in self.p)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[word] = got
-        return got
-
-    def scores(self, text: str | None) -> tuple[list[float], int]:
+        self.cache: dict[str, int] = {}
+        self.logs = np.zeros((CACHE, len(probabilities)))
+
+    def _word(self, word: str) -> int:
+        """The row of a word not in the cache: logs of the sums over all of its segmentations."""
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        row = self.cache[word] = len(self.cache)
+        arcs, n = self.lattice.arcs(word), len(word) + 1
+        out = []
+        for p in self.p:
+            alpha = [0.0] * (n + 1)
+            alpha[0] = 1.0
+            for s, e, piece in arcs:
+                alpha[e] += alpha[s] * p[piece]
+            out.append(math.log(alpha[n]) if alpha[n] else -700.0)
+        self.logs[row] = out
+        return row
+
+    def scores(self, text: str | None) -> tuple[np.ndarray, int]:
+        """Log likelihoods of a text, and its number of words."""
         words = words_of(text)
-        if not words:
-            return [0.0] * len(self.p), 0
-        return [math.fsum(c) for c in zip(*map(self.word, words), strict=True)], len(words)
+        total = np.zeros(len(self.p))
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            if len(self.cache) + len(part) > CACHE:
+                self.cache.clear()
+            get, new = self.cache.get, self._word
+            total += self.logs[[row if (row := get(w)) is not None else new(w) for w in part]].sum(0)
+        return total, len(words)
 
 
 def _expected(pieces: dict[str, int], probabilities: list[list[float]]):
@@ -85,21 +97,17 @@ def _expected(pieces: dict[str, int], probabilities: list[list[float]]):
         total: dict[tuple[int, int], float] = {}
         for batch in batches:
             for lang, word, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                edges, p = lattice.edges(word), probabilities[lang]
-                n = len(edges)
+                arcs, p, n = lattice.arcs(word), probabilities[lang], len(word) + 1
                 alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-                for e, found in enumerate(edges, 1):
-                    for s, piece in found:
-                        alpha[e] += alpha[s] * p[piece]
-                for e in range(n, 0, -1):
-                    for s, piece in edges[e - 1]:
-                        beta[s] += beta[e] * p[piece]
+                for s, e, piece in arcs:
+                    alpha[e] += alpha[s] * p[piece]
+                for s, e, piece in reversed(arcs):
+                    beta[s] += beta[e] * p[piece]
                 if alpha[n] <= 0.0:
                     continue
-                for e, found in enumerate(edges, 1):
-                    for s, piece in found:
-                        key = (lang, piece)
-                        total[key] = total.get(key, 0.0) + count * alpha[s] * p[piece] * beta[e] / alpha[n]
+                for s, e, piece in arcs:
+                    key = (lang, piece)
+                    total[key] = total.get(key, 0.0) + count * alpha[s] * p[piece] * beta[e] / alpha[n]
         keys = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k] for k in keys], pa.float64())], ["lang", "piece", "n"])
 
@@ -183,9 +191,9 @@ def identify(docs: DataFrame, train_on: Column, vocabulary: str, id_col: str = "
                     names.append("und")
                     scores.append(0.0)
                     continue
-                best = max(range(len(langs)), key=lambda i: (logs[i], -i))
+                best = int(logs.argmax())
                 names.append(langs[best])
-                scores.append(1.0 / sum(math.exp(max(-700.0, (x - logs[best]) / n * min(n, 20))) for x in logs))
+                scores.append(1.0 / float(np.exp((logs - logs[best]) / n * min(n, 20)).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
