@@ -103,7 +103,15 @@ def parse(
                 columns = [*part.columns[:k], *(pa.array(made[o], types[o]) for o in wanted), pa.array(failures, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *wanted, "parse_failure"])
 
-    return df.select(*[F.col(f"`{c}`") for c in names], source.alias("__html"), label.alias("__label")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in names], source.alias(_free("html", names)), label.alias(_free("label", names))).mapInArrow(run, schema)
+
+
+def _free(name: str, taken: Sequence[str]) -> str:
+    """A column name that isn't taken; Spark tells names apart without regard to case."""
+    low = {t.lower() for t in taken}
+    while name in low:
+        name += "_"
+    return name
 
 
 def _arrow(ddl: str) -> pa.DataType:

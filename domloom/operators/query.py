@@ -30,7 +30,7 @@ def query_html(df: DataFrame, css: str, id_col: str = "page_id", html_col: str =
                 found = query(doc.root, css)
                 for k, n in enumerate(found[:1] if first else found):
                     take.append(i)
-                    attrs = [(a, v) for a, v in n.attrs.items()]
+                    attrs = [(a, v) for a, v in (n.attrs or {}).items()]
                     rows.append((k, n.name, attrs, doc.text(n), doc.html(n) if with_html else None))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
