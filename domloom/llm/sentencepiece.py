@@ -203,7 +203,7 @@ class Codec:
         """Ids of a whole text, as 32-bit numbers."""
         if not text:
             return b""
-        if not self.splits or "  " in text or SPACE in text:
+        if not self.splits or text[0] == " " or "  " in text or SPACE in text:
             return self._parts(self.normalise(text))
         # Single spaces: words are parts with a mark before them, so the cache answers for most of them at once.
         get, parts = self.cache.get, self._parts
@@ -238,6 +238,14 @@ class Codec:
         return out
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken; Spark tells names apart without regard to case."""
+    low = {t.lower() for t in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -268,7 +276,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", *, ids_col: str
                     columns.append(pa.array(c.same(texts, ids, offsets), pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*names, ids_col, *[check_col] * bool(check_col)])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias(_free("text", names))).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, model: str, ids_col: str = "ids", *, text_col: str = "text") -> DataFrame:
@@ -282,4 +290,4 @@ def decode(tokens: DataFrame, model: str, ids_col: str = "ids", *, text_col: str
             texts = [None if i is None else c.decode([x for x in i if x is not None and 0 <= x < len(c.kind)]) for i in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], [*names, text_col])
 
-    return tokens.select(*[F.col(f"`{c}`") for c in names], F.col(ids_col).alias("__ids")).mapInArrow(run, schema)
+    return tokens.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{ids_col}`").alias(_free("ids", names))).mapInArrow(run, schema)
