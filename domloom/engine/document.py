@@ -10,7 +10,7 @@ from . import text as _text
 from .builder import Builder
 from .dom import Node
 from .dump import dump
-from .edits import apply_edits
+from .edits import apply_and_tell
 from .encoding import decode
 from .messages import message
 from .policy import SanitizationPolicy, sanitize
@@ -58,16 +58,26 @@ class Document:
         if options.strict and self.errors:
             e = self.errors[0]
             raise StrictModeError(f"{e['code']} at {e['line']}:{e['column']}")
+        self.reports: list[dict] = []
         if options.compiled:
-            apply_edits(self.root, options.compiled, source=builder.lexer.s if options.locations else None)
+            told, emitted = apply_and_tell(self.root, options.compiled, source=builder.lexer.s if options.locations else None)
+            for text, n in told:
+                line, column = self._where(n)
+                self.reports.append({"message": text, "name": n.name if n is not None else None, "line": line, "column": column})
+            for code, n, text in emitted:
+                line, column = self._where(n)
+                self.errors.append({"category": "transform", "code": code, "line": line, "column": column, "message": text or message(code, n.name if n is not None else None)})
 
     def clean(self, node: Node | None = None) -> Node:
         node = node or self.root
         return sanitize(node, self.options.policy, report=self._unsafe) if self.options.safe else node
 
+    def _where(self, n: Node | None) -> tuple[int | None, int | None]:
+        return self.lexer.location(n.pos) if n is not None and n.pos is not None else (None, None)
+
     def _unsafe(self, text: str, n: Node) -> None:
         if self.options.policy is not None and self.options.policy.unsafe_handling == "collect":
-            line, column = self.lexer.location(n.pos) if n.pos is not None else (None, None)
+            line, column = self._where(n)
             self.errors.append({"category": "security", "code": "unsafe-html", "line": line, "column": column, "message": text})
 
     def html(self, node: Node | None = None) -> str:

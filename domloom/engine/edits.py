@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Collection, Mapping, Sequence
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from ..plans.selectors import Selector, parse
@@ -19,6 +20,10 @@ from .match import matches
 from .names import VOID_OUTPUT
 from .policy import DEFAULT_POLICY, URL_ATTRS, SanitizationPolicy, UrlPolicy, clean_style, merge_tokens, raw_tags
 
+#: What edits of the current document have told, and the errors that callbacks have raised by emit_error.
+_TOLD: ContextVar[list | None] = ContextVar("told", default=None)
+_EMITTED: ContextVar[list | None] = ContextVar("emitted", default=None)
+
 KEEP, DROP, UNWRAP, EMPTY, ESCAPE = "keep", "drop", "unwrap", "empty", "escape"
 Report = Callable[[str, Node | None], None]
 
@@ -36,6 +41,14 @@ class Edit_:
             self.callback(n)
         if self.report is not None:
             self.report(message, n)
+        if (told := _TOLD.get()) is not None:
+            told.append((message, n))
+
+
+def emit_error(code: str, node: Node | None = None, *, message: str | None = None) -> None:
+    """From a callback: add an error of category 'transform' to the document's. Outside of edits it does nothing."""
+    if (emitted := _EMITTED.get()) is not None:
+        emitted.append((code, node, message))
 
 
 @dataclass(frozen=True)
@@ -235,6 +248,18 @@ def compile_edits(edits: Sequence[object]) -> list[list[Edit_]]:
     return [b for b in batches if b]
 
 
+def apply_and_tell(root: Node, batches: Sequence[Sequence[Edit_]], *, source: str | None = None) -> tuple[list, list]:
+    """apply_edits, and what was told and emitted meanwhile."""
+    told, emitted = [], []
+    tokens = _TOLD.set(told), _EMITTED.set(emitted)
+    try:
+        apply_edits(root, batches, source=source)
+    finally:
+        _TOLD.reset(tokens[0])
+        _EMITTED.reset(tokens[1])
+    return told, emitted
+
+
 def apply_edits(root: Node, batches: Sequence[Sequence[Edit_]], *, source: str | None = None) -> Node:
     for batch in batches:
         if isinstance(batch[0], EditDocument):

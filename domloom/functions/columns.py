@@ -189,6 +189,11 @@ def sanitized_attrs(tag: Column | str, attrs: Column | str, policy: Sanitization
     return out
 
 
+def source_line(html: Column | str, line: Column | str) -> Column:
+    """The line of the source that a diagnostic points at; null if there is none."""
+    return F.get(F.split(_c(html), "\r\n?|\n"), _c(line) - 1)
+
+
 # ---- encodings
 
 

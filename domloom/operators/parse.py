@@ -22,8 +22,10 @@ NODES = "array<struct<" + ",".join(f"{c}:{t}" for c, t in NODE_FIELDS.items()) +
 ERRORS = "array<struct<category:string,code:string,line:int,column:int,message:string>>"
 TOKENS = f"array<struct<seq:int,kind:string,name:string,attrs:{ATTR},data:string,public_id:string,system_id:string,self_closing:boolean>>"
 
+REPORTS = "array<struct<message:string,name:string,line:int,column:int>>"
+
 #: What parse can make, and its type.
-OUTPUTS = {"text": "string", "markdown": "string", "html": "string", "dump": "string", "encoding": "string", "quirks": "string", "nodes": NODES, "errors": ERRORS, "tokens": TOKENS}
+OUTPUTS = {"text": "string", "markdown": "string", "html": "string", "dump": "string", "encoding": "string", "quirks": "string", "nodes": NODES, "errors": ERRORS, "reports": REPORTS, "tokens": TOKENS}
 #: Rows in a batch that the worker holds at once; node tables are many times the size of their pages.
 SLICE = 64
 

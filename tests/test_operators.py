@@ -158,3 +158,24 @@ def test_cli(tmp_path, capsys):
     assert main([str(page), "--fragment", "--output", str(tmp_path / "o")]) == 0 and "<p>z</p>" in (tmp_path / "o").read_text()
     done = subprocess.run([sys.executable, "-m", "domloom", "--version"], capture_output=True, text=True, check=True)
     assert done.stdout.strip()
+
+
+def test_reports_and_emitted_errors(pages):
+    def look(n):
+        E.emit_error("seen", n, message="m")
+
+    steps = [E.Edit("h1", look), E.Drop("nav")]
+    row = parse(pages.where("page_id = 1"), outputs=("reports", "errors"), transforms=steps, locations=True).first()
+    assert {r.message for r in row.reports} == {"edited <h1>", "drop <nav>"} and all(r.line == 1 for r in row.reports)
+    assert [(e.category, e.code, e.message) for e in row.errors if e.category == "transform"] == [("transform", "seen", "m")]
+
+
+def test_collected_security_errors(spark):
+    from domloom.engine.policy import SanitizationPolicy
+
+    df = spark.createDataFrame([(1, "<p onclick=x>a</p>\n<script>b</script>")], "id int, html string")
+    out = parse(df, outputs=("html", "errors"), policy=SanitizationPolicy(["p"], {}, unsafe_handling="collect"), pretty=False).first()
+    found = [(e.line, e.message) for e in out.errors if e.category == "security"]
+    assert (1, "Unsafe attribute 'onclick' (matched pattern 'on*')") in found and (2, "Unsafe tag 'script' (dropped content)") in found
+    lines = df.select(fn.source_line("html", F.lit(2)).alias("x"), fn.source_line("html", F.lit(9)).alias("y")).first()
+    assert lines.x == "<script>b</script>" and lines.y is None
