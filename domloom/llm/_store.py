@@ -20,10 +20,26 @@ def shared_root(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that durable wrote in this process, once the results that read them are written. Their number."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _written:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet below shared_root and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -79,6 +79,8 @@ class Models:
     def scores(self, text: str | None) -> tuple[np.ndarray, int]:
         """Log likelihoods of a text, and its number of words."""
         words = words_of(text)
+        if not any(c.isalpha() for w in words for c in w):  # superscripts and the like look like letters to a pattern
+            words = []
         total = np.zeros(len(self.p))
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]

@@ -15,7 +15,8 @@ from ._words import LOWER, RINGS, SPACE, U, buffers, chunks, mix, randoms, signe
 
 HALVES, ROWS = 20, 3
 HUBS = 12
-BLOCK = 2048
+BLOCK = 512
+SKETCH = 192
 WIDTH = 4
 
 
@@ -84,34 +85,59 @@ def _verified(k: int, percent: int):
     return run
 
 
-def _unresolved(halves: int, rows: int, least: int):
-    """Of rows (bucket, x, y, one, two, side, node, comp, keys) in order of groups: likely pairs across components.
+def _sketches(k: int, size: int):
+    """Rows (node, text) to (node, n, sketch): the set's size and its `size` smallest hashes, cut to 16 bits."""
 
-    A group is a bucket's block or pair of blocks, so its size is bounded. A pair comes out of the first table that holds
-    both alone, and only if at least `least` of the minima agree.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, out = [], []
+            for s in shingle_sets(batch.column(1), k):
+                n.append(len(s))
+                out.append((s[:size] & U(0xFFFF)).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(out, pa.binary())], ["node", "n", "sketch"])
+
+    return run
+
+
+def _shared(sketches: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sketches share, by products of 0-1 matrices over slices of the values."""
+    row = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+    values, column = np.unique(np.concatenate(sketches), return_inverse=True)
+    out = np.zeros((len(sketches), len(sketches)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, len(values), 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        part = np.zeros((len(sketches), min(4096, len(values) - low)), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def _unresolved(size: int, percent: int):
+    """Of rows (bucket, x, y, one, two, side, node, comp, n, sketch, keys) in order of groups: likely pairs across components.
+
+    A group is a bucket's block or pair of blocks, so its size is bounded. Sketches of whole sets give the similarity
+    itself, others bound it to 4.5 standard deviations; the pairs left are few and are verified on full sets. A pair comes
+    out of the first table that holds both (one and two are the table's half-keys), and so once.
     """
 
-    def pairs(one: int, two: int, side, node, comp, keys) -> Iterator[tuple[int, int]]:
-        sig = (keys[:, :, None] >> (16 * np.arange(rows))) & 0xFFFF
-        values, counts = np.unique(comp, return_counts=True)
-        rest = np.flatnonzero(comp != values[counts.argmax()])
-        resting = np.zeros(len(node), bool)
-        resting[rest] = True
-        for r in rest.tolist():
-            others = (comp != comp[r]) & ~(resting & (np.arange(len(node)) < r))
-            if (side != side[0]).any():
-                others &= side != side[r]
-            at = np.flatnonzero(others)
-            same = sig[at] == sig[r]
-            enough = same.sum((1, 2)) >= least
-            at, agree = at[enough], same[enough].all(2)
-            if not len(at):
-                continue
-            order = agree.argmax(1)
-            agree[np.arange(len(at)), order] = False
-            second = agree.argmax(1)
-            for o in at[(order == one) & (second == two)].tolist():
-                yield int(min(node[r], node[o])), int(max(node[r], node[o]))
+    def pairs(one, two, side, node, comp, n, sketch, keys) -> Iterator[tuple[int, int]]:
+        shared = _shared([np.frombuffer(s, "<u2") for s in sketch]) + 3
+        most = np.maximum(n[:, None], n[None]).astype(np.float64)
+        both = np.where(most > size, np.minimum(1.0, (shared + 4.5 * (size * 0.16) ** 0.5) / size) * most, shared)
+        both = np.minimum(both, np.minimum(n[:, None], n[None]))
+        likely = (100 * both >= percent * (n[:, None] + n[None] - both)) & (comp[:, None] != comp[None])
+        if (side != side[0]).any():
+            likely &= side[:, None] != side[None]
+        i, j = np.nonzero(np.triu(likely, 1))
+        for a in range(0, len(i), 65536):
+            u, v = i[a : a + 65536], j[a : a + 65536]
+            same = keys[u] == keys[v]
+            first = same.argmax(1)
+            same[np.arange(len(u)), first] = False
+            here = (first == one) & (same.argmax(1) == two)
+            yield from zip(np.minimum(node[u], node[v])[here].tolist(), np.maximum(node[u], node[v])[here].tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
@@ -129,22 +155,21 @@ def _unresolved(halves: int, rows: int, least: int):
             if left is not None and len(left):
                 yield left
 
-        found: list[tuple[int, int]] = []
+        found: set[tuple[int, int]] = set()
         for g in groups():
             if len(g) < 2:
                 continue
-            keys = g.column("keys").combine_chunks().flatten().to_numpy().reshape(len(g), halves)
-            column = lambda c: g.column(c).to_numpy()  # noqa: B023, E731
-            found += pairs(g.column("one")[0].as_py(), g.column("two")[0].as_py(), column("side"), column("node"), column("comp"), keys)
+            keys = g.column("keys").combine_chunks().flatten().to_numpy().reshape(len(g), -1)
+            found.update(pairs(*(g.column(c)[0].as_py() for c in ("one", "two")), *(g.column(c).to_numpy() for c in ("side", "node", "comp", "n")), g.column("sketch").to_pylist(), keys))
             if len(found) >= 10_000:
                 yield _pairs(found)
-                found = []
+                found = set()
         yield _pairs(found)
 
     return run
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
@@ -159,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tables of 2 * rows minima cost halves * rows hash functions. Exact copies of a set are one class from the start.
     Half-keys that one class alone has can't lead to a partner and go first. In each bucket a pseudo-random pivot stands
     for the rest; up to HUBS pivots of a class are verified on full sets and components contracted. Then all pairs of a
-    bucket that still lie in different components are compared, in blocks and by signature inside the task, and the likely
+    bucket that still lie in different components are compared, in blocks and by sketches inside the task, and the likely
     ones verified on full sets. So a large bucket of similar documents costs about its size, not its square.
     A pair at exactly 0.8 shares no table with a chance of 1.3e-5 (20 half-keys of 3), one at 0.85 of 3e-8.
 
@@ -172,15 +197,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sig.where("n > 0")
     classes = durable(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys")).where("node IS NOT NULL"), "classes")
 
-    half = classes.select("node", F.posexplode("keys").alias("i", "v"))
-    shared = half.groupBy("i", "v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("i", "v")
-    live = half.join(shared, ["i", "v"]).groupBy("node").agg(F.sort_array(F.collect_set(F.struct("i", "v"))).alias("h")).where("size(h) > 1")
+    half = classes.select("node", F.explode(F.transform("keys", lambda v, i: F.struct(i.alias("i"), v.alias("v")))).alias("key"))
+    shared = half.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    live = half.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("h")).where("size(h) > 1")
     live = durable(live, "live-keys")
-    one = F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda y: F.struct(x["i"].alias("one"), y["i"].alias("two"), F.xxhash64(x["i"], x["v"], y["i"], y["v"]).alias("bucket"))))
-    buckets = live.select("node", F.explode(F.flatten(one)).alias("t")).select("node", "t.*")
+    tables = F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda y: F.struct(x["i"].alias("one"), y["i"].alias("two"), F.xxhash64(x["i"], x["v"], y["i"], y["v"]).alias("bucket")))))
+    buckets = live.select("node", F.explode(tables).alias("t")).select("node", "t.*")
 
     texts = durable(
-        rows_in.join(live.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id", "text"]).select(F.col("id").alias("node"), "text"), "candidates"
+        # Sorted on both sides at any size: neither side is bounded, so neither is ever broadcast.
+        rows_in.join(live.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]).select(F.col("id").alias("node"), "text"), "candidates"
     )
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -189,24 +215,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     order = F.struct(F.xxhash64("node", "bucket"), "node")
     pivot = buckets.groupBy("bucket").agg(F.min(order).alias("p"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("p.node").alias("pivot"))
-    met = buckets.join(pivot, "bucket").where("node <> pivot").groupBy("node", "pivot").count()
-    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "pivot")), False), 1, HUBS).alias("p"))
+    met = durable(buckets.join(pivot, "bucket").select("bucket", "one", "two", "node", "pivot"), "buckets")
+    times = met.where("node <> pivot").groupBy("node", "pivot").count()
+    best = times.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "pivot")), False), 1, HUBS).alias("p"))
     first = best.select("node", F.explode("p.pivot").alias("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = verify(first)
     root = components(links)
 
-    placed = buckets.join(root, "node", "left").select("bucket", "one", "two", "node", F.coalesce("root", "node").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    placed = met.join(root, "node", "left").select("bucket", "one", "two", "node", F.coalesce("root", "node").alias("comp"))
+    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("bucket", "c")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rest = placed.join(open_, "bucket").select("bucket", "one", "two", "node", "comp", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("mine"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rest = rest.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "one", "two", F.col("mine").alias("side"), "node", "comp")
-    rest = rest.join(classes.select("node", "keys"), "node")
-    rest = rest.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").select("bucket", "x", "y", "one", "two", "side", "node", "comp", "keys")
-    n = halves * rows
-    share = percent / 100
-    least = int(n * share - 4.5 * (n * share * (1 - share)) ** 0.5)
-    found = rest.mapInArrow(_unresolved(halves, rows, least), "a long, b long").distinct()
+    sketches = texts.mapInArrow(_sketches(shingle, SKETCH), "node long, n int, sketch binary")
+    sketches = sketches.join(classes.select("node", "keys"), "node")
+    rest = rest.join(sketches, "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    rest = rest.select("bucket", "x", "y", "one", "two", "side", "node", "comp", "n", "sketch", "keys")
+    found = rest.mapInArrow(_unresolved(SKETCH, percent), "a long, b long").distinct()
     more = verify(found)
     final = components(links.union(more))
 

@@ -334,11 +334,11 @@ def test_language(spark):
     for i in range(80):
         lang = "xx" if i % 2 else "yy"
         rows.append((i, " ".join(r.choice(words[lang]) for _ in range(30)), lang))
-    rows += [(80, None, "xx"), (81, "12 ... !", "xx"), (82, "", None), (83, "thing", None), (84, "漢字" * 900, "xx")]
+    rows += [(80, None, "xx"), (81, "12 ... !", "xx"), (82, "", None), (83, "thing", None), (84, "漢字" * 900, "xx"), (85, "² ³", "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {x.doc_id: x for x in language.identify(docs, F.col("doc_id") % 4 != 2, default_path("piece_bpe_32k.model")).collect()}
     assert all(got[i].lang_pred == ("xx" if i % 2 else "yy") for i in range(80)) and got[83].lang_pred == "xx"
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (80, 81, 82)) and all(0 <= x.score <= 1 for x in got.values())
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (80, 81, 82, 85)) and all(0 <= x.score <= 1 for x in got.values())
     none = language.identify(docs, F.lit(False), default_path("piece_bpe_32k.model"))
     assert {x.lang_pred for x in none.collect()} == {"und"}
 
@@ -411,6 +411,18 @@ def test_words(member):
     assert len(set(one.tolist())) == len(set(words)) == len(set(zip(one.tolist(), words, strict=True)))
 
 
+def test_tables_are_shared_and_swept(spark):
+    from pathlib import Path
+
+    from domloom.llm._store import durable, shared_root, sweep
+
+    sweep(spark)
+    root = Path(shared_root(spark).removeprefix("file:"))
+    assert str(root) == spark.conf.get("spark.checkpoint.dir")
+    assert durable(spark.range(3), "t").count() == 3 and list(root.glob("t-*"))
+    assert sweep(spark) == 1 and not list(root.glob("t-*"))
+
+
 # ---- registered queries
 
 
