@@ -3,11 +3,14 @@
 Every window of words is an edge of the graph. Consecutive windows of a document that share an anchor (their smallest
 k-gram) form one nonbranching stretch, and equal text gives equal stretches whatever stands around it; so the graph is
 compacted inside each document, before anything is shuffled. Stretches meet by anchor, those with a source before them are
-repeats as a whole, and only where an anchor branches into unlike stretches are single windows told apart.
+repeats as a whole, and only where an anchor branches into unlike stretches are single windows told apart. Repeats carry the
+coordinates of a source. Neighbours on one diagonal compact into spans, and each span's words are compared with the words
+that stand at its source's coordinates.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,8 @@ from ._store import durable
 from ._words import RINGS, SPACE, U, buffers, chunks, mix, signed, spans
 
 ANCHOR = 5
-ROWS = "one long, two long, id long, start int, n int, kind int"
+ROWS = "one long, two long, id long, start int, n int, kind int, src long, at int"
+SPANS = "id long, start int, n int, src long, at int, digest binary"
 FIRST, REPEAT, BRANCH = 0, 1, 2
 
 
@@ -46,26 +50,26 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, k: int, window: int) -> tuple[n
     return start, place[start]
 
 
-def _table(one, two, ids, start, n, kind) -> pa.RecordBatch:
-    columns = [np.asarray(x, t) for x, t in ((one, np.int64), (two, np.int64), (ids, np.int64), (start, np.int32), (n, np.int32), (kind, np.int32))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "id", "start", "n", "kind"])
+def _table(one, two, ids, start, n, kind, src, at) -> pa.RecordBatch:
+    columns = [np.asarray(x, t) for x, t in zip((one, two, ids, start, n, kind, src, at), (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int32), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "id", "start", "n", "kind", "src", "at"])
 
 
 def _combined(one, two, ids, start, n) -> pa.RecordBatch:
     """Pre-aggregation: what already has an earlier equal in this batch is a repeat, and travels under a key of its own."""
     order = np.lexsort((start, ids, two, one))
     one, two, ids, start, n = (x[order] for x in (one, two, ids, start, n))
-    later, _ = _runs(one, two, ids, start)
+    later, head = _runs(one, two, ids, start)
     spread = signed(mix(ids.astype(np.int64).view(U) * U(31) + start.astype(np.int64).view(U)))
-    return _table(np.where(later, spread, one), np.where(later, 0, two), ids, start, n, later)
+    return _table(np.where(later, spread, one), np.where(later, 0, two), ids, start, n, later, ids[head], start[head])
 
 
 def _runs(one, two, ids, start) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted rows: whether a row with the same keys starts earlier, and whether it opens its keys."""
+    """Of sorted rows: whether a row with the same keys starts earlier, and the place of the first row of the keys."""
     opens = np.ones(len(one), bool)
     opens[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     head = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-    return (ids != ids[head]) | (start != start[head]), opens
+    return (ids != ids[head]) | (start != start[head]), head
 
 
 def _stretches(window: int, k: int):
@@ -140,25 +144,83 @@ def _sweep(branching: bool):
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if not len(rows[0]):
                 continue
-            one, two, ids, start, n, kind = rows
+            one, two, ids, start, n, kind, src, at = rows
             sent = kind == REPEAT
-            later, opens = _runs(one, two, ids, start)
+            later, head = _runs(one, two, ids, start)
+            opens = head == np.arange(len(head))
             later = (later | sent) & ~(opens & ~sent)
             if later.any():
-                yield _table(one[later], two[later], ids[later], start[later], n[later], np.full(later.sum(), REPEAT))
+                src, at = np.where(sent, src, ids[head]), np.where(sent, at, start[head])
+                yield _table(one[later], two[later], ids[later], start[later], n[later], np.full(later.sum(), REPEAT), src[later], at[later])
             keep = opens & ~sent
             last = keep & (one == one[-1])
             if branching and (done := keep & ~last).any():
                 yield branches([x[done] for x in rows])
-            at = np.flatnonzero(last if branching else keep)
-            held = [x[at if branching else at[-1:]] for x in rows]
+            stay = np.flatnonzero(last if branching else keep)
+            held = [x[stay if branching else stay[-1:]] for x in rows]
         if branching and held is not None and len(held[0]):
             yield branches(held)
 
     def branches(rows: list[np.ndarray]) -> pa.RecordBatch:
         _, where, counts = np.unique(rows[0], return_inverse=True, return_counts=True)
         several = counts[where] > 1
-        return _table(*(x[several] for x in rows[:5]), np.full(several.sum(), BRANCH))
+        return _table(*(x[several] for x in rows[:5]), np.full(several.sum(), BRANCH), *(x[several] for x in rows[6:]))
+
+    return run
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _spans(window: int):
+    """Rows (id, text, at: [(start, n, src, at)]) to spans: windows on one diagonal of one source that touch, with a digest
+    of the span's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            lists = batch.column(2)
+            data, off = buffers(batch.column(1))
+            raw, at = data.tobytes(), lists.offsets.to_numpy()
+            start, n, src, source = (lists.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "src", "at"))
+            out: list[tuple] = []
+            for r, i in enumerate(ids):
+                part = slice(at[r], at[r + 1])
+                words = raw[off[r] : off[r + 1]].split()
+                order = np.lexsort((start[part], source[part] - start[part], src[part]))
+                a, b, c, d = (x[part][order] for x in (start, n, src, source))
+                end = a + b
+                new = np.ones(len(a), bool)
+                new[1:] = (c[1:] != c[:-1]) | (d[1:] - a[1:] != d[:-1] - a[:-1]) | (a[1:] > end[:-1])
+                head = np.flatnonzero(new)
+                last = np.maximum.reduceat(end, head)
+                for s, e, x, y in zip(a[head].tolist(), last.tolist(), c[head].tolist(), d[head].tolist(), strict=True):
+                    if e + window - 1 <= len(words):
+                        out.append((i, s, e - s, x, y, _digest(words[s : e + window - 1])))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["id", "start", "n", "src", "at", "digest"])
+
+    return run
+
+
+def _differing(window: int):
+    """Rows (src, at, n, digest, text) of spans and the texts of their sources: those whose words differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad, text, words = [], None, []
+            places, sizes, digests = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            data, off = buffers(batch.column(4))
+            raw = data.tobytes()
+            for r in range(len(batch)):
+                own = raw[off[r] : off[r + 1]]
+                if own != text:
+                    text, words = own, own.split()
+                if _digest(words[places[r] : places[r] + sizes[r] + window - 1]) != digests[r]:
+                    bad.append(r)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(bad, pa.int64())) for k in range(4)], ["src", "at", "n", "digest"])
 
     return run
 
@@ -198,19 +260,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Scale. A document sends one row for each stretch, about a ninth of its words at 20 words and anchors of 5; batches are
     combined first, so that a passage shared by a third of all rows sends one row a batch to its key. Rows of a key are
-    streamed in order and never gathered. Texts are shuffled once, and both joins read that exchange.
+    streamed in order and never gathered. Spans of one source are made distinct before they meet its text, in an equi join
+    that AQE splits where a source is hot. A span whose words differ from its source's is no repeat.
 
     Edge cases. Null, empty or short texts: nothing goes. Rows that share an id are one document: an equal text at the same
-    start is not earlier, and what goes from one goes from all. Rows without an id lose nothing and are no source.
+    start is not earlier, and what goes from one goes from all; if their texts differ, spans that a source's text doesn't bear out
+    stay. Rows without an id lose nothing and are no source.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.where("id IS NOT NULL").mapInArrow(_stretches(window, anchor), ROWS)
     swept = lambda df, branching: df.repartition("one").sortWithinPartitions("one", "two", "id", "start").mapInArrow(_sweep(branching), ROWS)
-    found = durable(swept(rows, True).select("id", "start", "n", "kind"), "stretches")
-
-    lists = lambda df, name: df.groupBy(F.col("id").alias(f"{name}_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
-    branch = lists(found.where(F.col("kind") == BRANCH), "b")
-    single = texts.join(branch, F.col("id") == F.col("b_id")).select("id", "text", "at").mapInArrow(_windows(window), ROWS)
-    repeats = found.where(F.col("kind") == REPEAT).select("id", "start", "n").union(swept(single, False).select("id", "start", "n"))
-    out = texts.join(lists(repeats, "r"), F.col("id") == F.col("r_id"), "left").select("id", "text", "at").mapInArrow(_cut(window), "id long, n_words long, n_removed long, text string")
+    found = durable(swept(rows, True).select("id", "start", "n", "kind", "src", "at"), "stretches")
+
+    known = texts.where("id IS NOT NULL")
+    branch = found.where(F.col("kind") == BRANCH).groupBy(F.col("id").alias("b_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    single = known.join(branch, F.col("id") == F.col("b_id")).select("id", "text", "at").mapInArrow(_windows(window), ROWS)
+    columns = ("id", "start", "n", "src", "at")
+    repeats = found.where(F.col("kind") == REPEAT).select(*columns).union(swept(single, False).select(*columns))
+    listed = repeats.groupBy(F.col("id").alias("r_id")).agg(F.collect_list(F.struct("start", "n", "src", "at")).alias("at"))
+    spans = durable(known.join(listed, F.col("id") == F.col("r_id")).select("id", "text", "at").mapInArrow(_spans(window), SPANS), "spans")
+
+    key = ("src", "at", "n", "digest")
+    named = spans.select(*key).distinct()
+    bad = named.join(known, F.col("src") == F.col("id")).select(*key, "text").mapInArrow(_differing(window), "src long, at int, n int, digest binary").distinct()
+    good = spans.join(bad, list(key), "left_anti").groupBy(F.col("id").alias("g_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    out = texts.join(good, F.col("id") == F.col("g_id"), "left").select("id", "text", "at").mapInArrow(_cut(window), "id long, n_words long, n_removed long, text string")
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
