@@ -11,7 +11,7 @@ from domloom.__main__ import main
 from domloom.engine import edits as E
 from domloom.engine.policy import CSS_PRESET_TEXT, DEFAULT_POLICY, clean_style, merge_tokens
 from domloom.engine.text import code_span, escape_markdown
-from domloom.operators import errors, matches_css, nodes, parse, query_html, select_css
+from domloom.operators import drop_nodes, empty_nodes, errors, matches_css, nodes, parse, query_html, select_css, text_by_document, unwrap_nodes
 from domloom.plans.selectors import SelectorError
 from domloom.streaming import read_pages, text_stats
 
@@ -179,3 +179,23 @@ def test_collected_security_errors(spark):
     assert (1, "Unsafe attribute 'onclick' (matched pattern 'on*')") in found and (2, "Unsafe tag 'script' (dropped content)") in found
     lines = df.select(fn.source_line("html", F.lit(2)).alias("x"), fn.source_line("html", F.lit(9)).alias("y")).first()
     assert lines.x == "<script>b</script>" and lines.y is None
+
+
+@pytest.mark.parametrize("css", ["nav", "p", "b, li", "div > p", "template", "x b"])
+@pytest.mark.parametrize(("relational", "edit"), [(drop_nodes, E.Drop), (empty_nodes, E.Empty), (unwrap_nodes, E.Unwrap)])
+def test_relational_edits_agree_with_the_worker(pages, table, relational, edit, css):
+    if (css, edit) == ("template", E.Unwrap):
+        pytest.skip("hoists content in the worker alone")
+    count = lambda df: {(r.page_id, r.name): r.n for r in df.groupBy("page_id", "name").agg(F.count("*").alias("n")).collect()}
+    got, want = relational(table, css), nodes(pages, transforms=[edit(css)])
+    joined = lambda df: {r.page_id: r.text.replace(" ", "") for r in text_by_document(df).collect()}
+    assert joined(got) == joined(want)
+    if edit is not E.Unwrap:
+        assert count(got) == count(want)
+    parents = lambda df: sorted((r.page_id, r.a, r.b) for r in df.alias("c").join(df.alias("p"), F.expr("c.page_id = p.page_id AND c.parent_id = p.node_id")).where("c.name <> '#text'").select("c.page_id", F.col("c.name").alias("a"), F.col("p.name").alias("b")).collect())
+    assert parents(got) == parents(want)
+
+
+def test_text_by_document(pages, table):
+    whole = {r.page_id: r.text for r in parse(pages, outputs=("text",), safe=False).collect() if r.text}
+    assert {r.page_id: r.text for r in text_by_document(table).collect()} == whole
