@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import replace
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -28,6 +29,7 @@ REPORTS = "array<struct<message:string,name:string,line:int,column:int>>"
 OUTPUTS = {"text": "string", "markdown": "string", "html": "string", "dump": "string", "encoding": "string", "quirks": "string", "nodes": NODES, "errors": ERRORS, "reports": REPORTS, "tokens": TOKENS}
 #: Rows in a batch that the worker holds at once; node tables are many times the size of their pages.
 SLICE = 64
+NODE_ROWS = 20_000
 
 
 def _tokens(source: str) -> list[dict]:
@@ -75,9 +77,7 @@ def parse(
         setup, compiled=compiled, fragment=(fragment, "html") if isinstance(fragment, str) else fragment,
         collect_errors=setup.collect_errors or "errors" in wanted, locations=setup.locations or "errors" in wanted,
     )
-    binary = isinstance(df.schema[html_col].dataType, BinaryType)
-    source = F.col(f"`{html_col}`") if binary else F.col(f"`{html_col}`").cast("string")
-    label = F.col(f"`{encoding_col}`").cast("string") if encoding_col else F.lit(None).cast("string")
+    source, label = _inputs(df, html_col, encoding_col)
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names] + [f"{o} {OUTPUTS[o]}" for o in wanted] + ["parse_failure string"])
 
     types = {o: _arrow(OUTPUTS[o]) for o in wanted}
@@ -108,6 +108,13 @@ def parse(
     return df.select(*[F.col(f"`{c}`") for c in names], source.alias(_free("html", names)), label.alias(_free("label", names))).mapInArrow(run, schema)
 
 
+def _inputs(df: DataFrame, html_col: str, encoding_col: str | None) -> tuple[Column, Column]:
+    """The HTML as text or bytes, and the transport's label."""
+    binary = isinstance(df.schema[html_col].dataType, BinaryType)
+    source = F.col(f"`{html_col}`") if binary else F.col(f"`{html_col}`").cast("string")
+    return source, F.col(f"`{encoding_col}`").cast("string") if encoding_col else F.lit(None).cast("string")
+
+
 def _free(name: str, taken: Sequence[str]) -> str:
     """A column name that isn't taken; Spark tells names apart without regard to case."""
     low = {t.lower() for t in taken}
@@ -128,10 +135,48 @@ def _exploded(df: DataFrame, id_col: str, html_col: str, output: str, options: d
     return made.select(id_col, F.explode(output).alias("r")).select(id_col, "r.*")
 
 
-def nodes(df: DataFrame, id_col: str = "page_id", html_col: str = "html", **options) -> DataFrame:
+def nodes(df: DataFrame, id_col: str = "page_id", html_col: str = "html", *, encoding_col: str | None = None, fragment: str | tuple[str, str | None] | None = None, transforms: Sequence = (), on_error: str = "skip", **options) -> DataFrame:
     """A row for each node of each document, in the layout of NODE_FIELDS. An ancestor a of d, in the same tree_id, has
-    a.node_id < d.node_id and d.post < a.post."""
-    return _exploded(df, id_col, html_col, "nodes", options)
+    a.node_id < d.node_id and d.post < a.post. Rows leave the worker as flat columns, some thousands at a time. A document
+    that fails has no rows (on_error='raise' to stop); parse names the reasons."""
+    setup = replace(Options(**options), compiled=compile_edits(transforms), fragment=(fragment, "html") if isinstance(fragment, str) else fragment)
+    source, label = _inputs(df, html_col, encoding_col)
+    id_type = df.schema[id_col].dataType.simpleString()
+    types = {c: _arrow(t) for c, t in NODE_FIELDS.items()}
+
+    def flat(ids: pa.Array, take: list[int], columns: dict[str, list]) -> pa.RecordBatch:
+        made = []
+        for c, values in columns.items():
+            if c == "attrs":
+                offsets = [0, *accumulate(map(len, values))]
+                pairs = [(a["name"], a["value"]) for v in values for a in v]
+                inner = pa.StructArray.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], ["name", "value"])
+                made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner).cast(types[c]))
+            else:
+                made.append(pa.array(values, types[c]))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(take, pa.int64())), *made], ["id", *columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, columns = [], {c: [] for c in NODE_COLUMNS}
+            for i, (html, transport) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                try:
+                    rows = Document(html, setup, transport).nodes()
+                except Exception:
+                    if on_error == "raise":
+                        raise
+                    continue
+                take += [i] * len(rows["node_id"])
+                for c, values in rows.items():
+                    columns[c] += values
+                if len(take) >= NODE_ROWS:
+                    yield flat(batch.column(0), take, columns)
+                    take, columns = [], {c: [] for c in NODE_COLUMNS}
+            if take:
+                yield flat(batch.column(0), take, columns)
+
+    made = df.select(F.col(f"`{id_col}`").alias("id"), source.alias("html"), label.alias("label")).mapInArrow(run, f"id {id_type}, " + ", ".join(f"{c} {t}" for c, t in NODE_FIELDS.items()))
+    return made.withColumnRenamed("id", id_col)
 
 
 def tokens(df: DataFrame, id_col: str = "page_id", html_col: str = "html", **options) -> DataFrame:

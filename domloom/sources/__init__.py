@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +26,25 @@ def read_html_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def write_rendered(df: DataFrame, column: str, path: str, *, mode: str = "errorifexists") -> None:
     """One text file a partition, a rendering a record; documents are parted by a blank line, so the column may hold breaks."""
     df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").write.mode(mode).option("lineSep", "\n\n").text(path)
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """df written as Parquet in the folder that the cluster shares (spark.checkpoint.dir; one of our own only where that is
+    unset) and read back. For a nodes table that several selectors read: it is parsed once, and filters reach the files."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="domloom-checkpoint-"))
+        root = spark.sparkContext.getCheckpointDir()
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a few small files would leave most of them idle while a
+    parse runs. Tables of many splits, and streams, are left as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

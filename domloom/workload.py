@@ -13,6 +13,7 @@ from .engine.policy import CSS_PRESET_TEXT, DEFAULT_DOCUMENT_POLICY, DEFAULT_POL
 from .functions.columns import sanitized_attrs
 from .operators import errors, matches_css, nodes, parse, query_html, select_css, tokens
 from .operators.select import attr
+from .sources import spread, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,13 +30,19 @@ def query(sql: str | None = None):
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/pages.parquet")
+    return spread(spark.read.parquet(f"{d}/pages.parquet"))
 
 
 def page_nodes(spark: SparkSession, d: str, **options) -> DataFrame:
     return nodes(pages(spark, d), "page_id", "html", **options)
 
 
+def stored_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """What selectors with combinators read of a nodes table, parsed once."""
+    wanted = "node_id post parent_id tree_id prev_elem_id elem_idx elem_cnt type_idx type_cnt is_empty name name_lc attrs parent_name query_ord".split()
+    return stored(page_nodes(spark, d).where("NOT startswith(name, '#')").select("page_id", *wanted), "nodes")
+
+
 UNESCAPE = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 TITLE = UNESCAPE.format("trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's'))")
 TEXT = UNESCAPE.format(
@@ -137,27 +144,27 @@ def text_length_stats(spark, d):
 
 @query(LINKS)
 def css_descendant(spark, d):
-    return select_css(page_nodes(spark, d), "nav li a").select("page_id", attr("href").alias("href"))
+    return select_css(stored_nodes(spark, d), "nav li a").select("page_id", attr("href").alias("href"))
 
 
 @query("SELECT page_id, 1::BIGINT AS n FROM pages WHERE html LIKE '%<div class=\"ad\"%'")
 def css_child_class(spark, d):
-    return select_css(page_nodes(spark, d), "body > div.ad").groupBy("page_id").agg(F.count("*").alias("n"))
+    return select_css(stored_nodes(spark, d), "body > div.ad").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, unnest(list_filter(l, lambda x, i: i % 2 = 1)) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages)")
 def css_nth(spark, d):
-    return select_css(page_nodes(spark, d), "nav li:nth-child(2n+1) > a").select("page_id", attr("href").alias("href"))
+    return select_css(stored_nodes(spark, d), "nav li:nth-child(2n+1) > a").select("page_id", attr("href").alias("href"))
 
 
 @query("SELECT page_id, (len(regexp_extract_all(html, '<li>')) - 1)::BIGINT AS n FROM pages WHERE len(regexp_extract_all(html, '<li>')) > 1")
 def css_not(spark, d):
-    return select_css(page_nodes(spark, d), "li:not(:first-child)").groupBy("page_id").agg(F.count("*").alias("n"))
+    return select_css(stored_nodes(spark, d), "li:not(:first-child)").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, 1::BIGINT AS n_next, len(regexp_extract_all(html, '<p>'))::BIGINT AS n_later FROM pages")
 def css_sibling(spark, d):
-    n = page_nodes(spark, d)
+    n = stored_nodes(spark, d)
     count = lambda css, name: select_css(n, css).groupBy("page_id").agg(F.count("*").alias(name))
     return count("h1 + p", "n_next").join(count("h1 ~ p", "n_later"), "page_id")
 
