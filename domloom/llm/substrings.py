@@ -22,6 +22,7 @@ from ._store import durable
 from ._words import RINGS, SPACE, U, buffers, chunks, mix, signed, spans
 
 ANCHOR = 5
+SALTS = 64
 ROWS = "one long, two long, id long, start int, n int, kind int, src long, at int"
 SPANS = "id long, start int, n int, src long, at int, digest binary"
 FIRST, REPEAT, BRANCH = 0, 1, 2
@@ -283,6 +284,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = ("src", "at", "n", "digest")
     named = spans.select(*key).distinct()
     bad = named.join(known, F.col("src") == F.col("id")).select(*key, "text").mapInArrow(_differing(window), "src long, at int, n int, digest binary").distinct()
-    good = spans.join(bad, list(key), "left_anti").groupBy(F.col("id").alias("g_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    # A passage's copies are one key; salt deals them over several tasks, and what they meet is next to nothing.
+    salted = spans.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)).cast("int"))
+    bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    good = salted.join(bad, [*key, "salt"], "left_anti").groupBy(F.col("id").alias("g_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
     out = texts.join(good, F.col("id") == F.col("g_id"), "left").select("id", "text", "at").mapInArrow(_cut(window), "id long, n_words long, n_removed long, text string")
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
