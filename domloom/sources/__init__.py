@@ -41,10 +41,14 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes a core below which a table is dealt out: so small a table is a row group or two, and one core would read it all.
+SMALL = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores: a few small files would leave most of them idle while a
-    parse runs. Tables of many splits, and streams, are left as they are."""
+    """df dealt over all cores if it is tiny (by the planner's estimate), else as it is. Streams are left alone."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL * cores else df
