@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import spread
 from . import decontaminate, language, lines, minhash, oracles, quality, quality_rules, sentencepiece, substrings, token_counts, toxicity
 from ._pieces import default_path, pattern
 from ._store import durable, table
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table, dealt over all cores if it is tiny; larger ones are left as they are."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle=4, percent=80)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    out = substrings.remove_repeats(documents(spark, sf_dir), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    out = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), window=10)
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
@@ -31,26 +37,26 @@ def _remainder(n: int):
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
     out = language.identify(docs, ~held_out, default_path("piece_bpe_32k.model"))
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
     model = toxicity.train(docs, labels, ~held_out)
     return toxicity.severity(docs, model).select("doc_id", held_out.alias("held_out"), "severity", "grade", "toxic")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    out = lines.remove_repeated_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
     weights, bias = quality.train(docs, labels, ~held_out)
     out = quality.score(docs, weights, bias)
@@ -58,19 +64,19 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     out = sentencepiece.encode(docs, default_path("piece_bpe_32k.model"), check_col="round_trip")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     blocks = durable(token_counts.flat_blocks(docs, default_path("byte_bpe_50k.tiktoken"), pattern(), 50256), "flat-tokens")
     return token_counts.count_tokens(blocks, 50256).select("doc_id", "n_tokens")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("failed")
+    return quality_rules.judge(documents(spark, sf_dir)).drop("failed")
 
 
 QUERIES = {
