@@ -24,18 +24,33 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a row number, and its column. Verdicts go by row: a null id matches none, and a repeated one several."""
+    row = "row"
+    while row in [c.lower() for c in docs.columns]:
+        row += "_"
+    return durable(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) one document stays."""
-    found = minhash.near_duplicates(docs, shingle=5, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) one row stays: that of the smallest id.
+
+    A row without an id stays only where its group has no id at all. Rows that share an id are told apart: they are copies
+    of one another by their texts alone.
+    """
+    rows, row = numbered(docs)
+    found = minhash.near_duplicates(rows, id_col=row, shingle=5, percent=80).select(row, "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    first = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order)[row].alias("first"))
+    gone = found.join(first, "component_id").where(F.col(row) != F.col("first")).select(row)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
-    gone = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold ten consecutive words of a benchmark item go, each by its own text, whether its id is null or repeated."""
+    rows, row = numbered(docs)
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col=row, window=10)
+    return rows.join(found.where("n_hit > 0").select(row), row, "left_anti").select(*docs.columns)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,26 @@ def test_run(spark, data):
     out = P.run(spark, data)
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
     assert out.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Verdicts of the dropping stages go by row."""
+    words = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    spark.createDataFrame([(1, words("item", 12))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [
+        (None, "null clean " + words("a")), (None, "null hit " + words("item", 12) + words("b")),
+        (7, "shared clean " + words("c")), (7, "shared hit " + words("item", 12) + words("d")), (8, "plain " + words("e")),
+    ]
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    texts = lambda df: sorted(" ".join(r.text.split()[:2]) for r in df.collect())
+    out = P.benchmark_decontamination(spark, frame(rows), str(tmp_path))
+    assert texts(out) == ["null clean", "plain e0", "shared clean"]
+
+    same = words("copy")
+    rows = [
+        (3, same), (None, same), (5, same), (5, "other text " + words("f")), (9, "twice here " + words("g")), (9, "twice here " + words("g")),
+        (None, "lone null " + words("h")), (None, "both null " + words("k")), (None, "both null " + words("k")), (None, None), (None, None),
+    ]
+    out = P.minhash_near_dedup(spark, frame(rows), str(tmp_path))
+    got = sorted(((r.doc_id, r.text and " ".join(r.text.split()[:2])) for r in out.collect()), key=str)
+    assert got == sorted([(3, "copy0 copy1"), (5, "other text"), (9, "twice here"), (None, "lone null"), (None, "both null"), (None, None), (None, None)], key=str)
