@@ -16,7 +16,8 @@ from .minhash import shingle_sets
 SAMPLE = 16_000
 EPOCHS = 400
 GRADES = 4
-MARKERS = 512
+#: Of the marked words, the share that may be chance.
+FDR = 0.05
 #: Lengths in bytes of the word beginnings that are features.
 STEMS = (4, 5, 6, 8)
 
@@ -42,19 +43,47 @@ def counts(column: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.
             yield index, times
 
 
+def _tails(bad: np.ndarray, seen: np.ndarray, n: tuple[int, int]) -> np.ndarray:
+    """P(at least `bad` of `seen` texts have label 1), were the n[0] and n[1] labels dealt at random: Fisher's exact test."""
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n[0] + n[1] + 1)))])
+    choose = lambda m, k: log[m] - log[k] - log[m - k]
+    pairs, back = np.unique(np.stack([bad, seen]), axis=1, return_inverse=True)
+    p = np.empty(pairs.shape[1])
+    for i, (k, m) in enumerate(pairs.T):
+        j = np.arange(max(k, m - n[0]), min(m, n[1]) + 1)
+        p[i] = np.exp(choose(n[1], j) + choose(n[0], m - j) - choose(n[0] + n[1], m)).sum()
+    return p[back.reshape(-1)]
+
+
 def _markers(index: list[np.ndarray], toxic: np.ndarray, bits: int) -> np.ndarray:
-    """Log odds of each hashed word between the two labels, where the difference stands out; 0 elsewhere."""
+    """Log odds of each hashed word between the two labels, where label 1 has significantly more of it; 0 elsewhere.
+
+    The test is exact and on absolute counts, so a word needs no share of the labels: the same few texts mark it however many
+    others there are of other languages or sources. The false discovery rate is FDR (Benjamini-Hochberg), over the words frequent
+    enough to be significant at all (Gilbert): the thousands seen once or twice don't raise the bar.
+    """
     size = 1 << bits
-    seen = [np.zeros(size), np.zeros(size)]
+    seen = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
     for i, y in zip(index, toxic, strict=True):
         seen[int(y)][i] += 1
-    n = [max(1, int((toxic == y).sum())) for y in (0, 1)]
-    odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    sure = odds * np.sqrt(seen[1] + seen[0])
+    n = tuple(int((toxic == y).sum()) for y in (0, 1))
     out = np.zeros(size)
-    top = np.argsort(-sure, kind="stable")[:MARKERS]
-    top = top[(odds[top] > 4.0) & (seen[1][top] >= max(3, 0.02 * n[1]))]
-    out[top] = odds[top]
+    at = np.flatnonzero(seen[1])
+    if not n[0] or not len(at):
+        return out
+    both = seen[0][at] + seen[1][at]
+    least = np.sort(_tails(np.minimum(both, n[1]), both, n))
+    k = 1
+    while np.searchsorted(least, FDR / k, "right") > k:
+        k += 1
+    able = int(np.searchsorted(least, FDR / k, "right"))
+    p = _tails(seen[1][at], both, n)
+    rank = np.sort(p)[:able]
+    passed = np.flatnonzero(rank <= FDR * np.arange(1, able + 1) / max(able, 1))
+    if len(passed):
+        odds = np.log((seen[1][at] + 0.5) / (n[1] + 1)) - np.log((seen[0][at] + 0.5) / (n[0] + 1))
+        sure = (p <= rank[passed[-1]]) & (odds > 0)
+        out[at[sure]] = odds[sure]
     return out
 
 

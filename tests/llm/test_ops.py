@@ -308,6 +308,19 @@ def test_toxicity(spark):
     assert toxicity.severity(docs, toxicity.train(docs, labels.limit(0), F.lit(True))).where("toxic").count() == 0
 
 
+def test_toxicity_rare_markers():
+    """A word of few toxic texts is marked however many other labels there are, and there is no limit on how many are marked."""
+    r = np.random.default_rng(3)
+    common = lambda: r.choice(np.arange(1000, 3000), 30, replace=False)
+    index = [np.append(common(), 1) for _ in range(2000)] + [np.append(common(), 2) for _ in range(12)] + [common() for _ in range(8000)]
+    toxic = np.array([1] * 2012 + [0] * 8000)
+    marked = np.flatnonzero(toxicity._markers(index, toxic, 12))
+    assert {1, 2} <= set(marked) and len(marked) <= 4
+    index = [np.arange(600)] * 50 + [common() for _ in range(200)]
+    assert len(np.flatnonzero(toxicity._markers(index, np.array([1] * 50 + [0] * 200), 12))) == 600
+    assert not toxicity._markers(index, np.ones(250, int), 12).any() and not toxicity._markers([], np.zeros(0, int), 12).any()
+
+
 def test_ordinal_gradient():
     """The fitted likelihood is at a maximum: no small step along any parameter raises it."""
     r = np.random.default_rng(1)
