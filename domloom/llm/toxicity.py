@@ -87,22 +87,29 @@ def _markers(index: list[np.ndarray], toxic: np.ndarray, bits: int) -> np.ndarra
     return out
 
 
-def _minima(column: pa.Array) -> list[list[int]]:
-    """Four minima over the five-word shingles of each text; near copies nearly always share one."""
+def _minima(sets: list[np.ndarray]) -> list[list[int]]:
+    """Four minima over each set of shingles; near copies nearly always share one."""
     flips = randoms(4, 21)[:, None]
-    return [signed(mix(s[None] ^ flips).min(1)).tolist() if len(s) else [] for s in shingle_sets(column, 5)]
+    return [signed(mix(s[None] ^ flips).min(1)).tolist() if len(s) else [] for s in sets]
 
 
-def _one_of_copies(minima: list[list[int]]) -> np.ndarray:
-    """Rows to learn from: a text goes if it shares one of its minima with an earlier one. Words of one much-copied text
-    would look like words of its label."""
-    seen: set[tuple[int, int]] = set()
+def _one_of_copies(minima: list[list[int]], sets: list[np.ndarray]) -> np.ndarray:
+    """Rows to learn from: a text goes if it shares a minimum with an earlier one that stays, and their shingle sets have a
+    similarity of 0.8 or more. Words of one much-copied text would look like words of its label."""
+    holders: dict[tuple[int, int], list[int]] = {}
     out = []
     for row, found in enumerate(minima):
-        own = set(enumerate(found))
-        if not own & seen:
+        own, keys = sets[row], list(enumerate(found))
+        for other in {r for key in keys for r in holders.get(key, ())}:
+            a, b = sorted((len(own), len(sets[other])))
+            if 5 * a >= 4 * b:
+                both = len(np.intersect1d(own, sets[other], assume_unique=True))
+                if 5 * both >= 4 * (a + b - both):
+                    break
+        else:
             out.append(row)
-        seen |= own
+            for key in keys:
+                holders.setdefault(key, []).append(row)
     return np.array(out, np.int64)
 
 
@@ -180,7 +187,7 @@ def _row(index: np.ndarray, times: np.ndarray, useful: np.ndarray) -> tuple[np.n
 def train(docs: DataFrame, labels: DataFrame, train_on: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE, levels: int = GRADES, bits: int = BITS) -> CumulativeLink:
     """Fitted on about `sample` labelled rows where train_on holds (the documented bound), each read whole.
 
-    Near copies teach once. Only words that set the labels apart keep a feature; the rest of a text, which is most of a long document, is nothing
+    Near copies teach once; the sample's shingle sets come to the driver to tell them. Only words that set the labels apart keep a feature; the rest of a text, which is most of a long document, is nothing
     that severity should grow with.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(label).cast("double").alias("mark"))
@@ -191,13 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, label: str = "to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(counts(batch.column(2), bits))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([t.astype(np.int32) for _, t in found], pa.list_(pa.int32())), pa.array(_minima(batch.column(2)), pa.list_(pa.int64()))], ["h", "mark", "index", "times", "minima"])
+            found, sets = list(counts(batch.column(2), bits)), list(shingle_sets(batch.column(2), 5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([t.astype(np.int32) for _, t in found], pa.list_(pa.int32())), pa.array(_minima(sets), pa.list_(pa.int64())), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], ["h", "mark", "index", "times", "minima", "shingles"])
 
-    got = chosen.mapInArrow(run, "h long, mark double, index array<int>, times array<int>, minima array<long>").toArrow().sort_by([("h", "ascending"), ("mark", "ascending")])
+    got = chosen.mapInArrow(run, "h long, mark double, index array<int>, times array<int>, minima array<long>, shingles array<long>").toArrow().sort_by([("h", "ascending"), ("mark", "ascending")])
     arrays = lambda c: [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in got.column(c)]
     index, times, toxic = arrays("index"), arrays("times"), (got.column("mark").to_numpy() > 0).astype(np.int64)
-    one = _one_of_copies(got.column("minima").to_pylist())
+    one = _one_of_copies(got.column("minima").to_pylist(), arrays("shingles"))
     index, times, toxic = [index[i] for i in one], [times[i] for i in one], toxic[one]
     grade = grades(index, times, toxic, levels, bits)
     useful = _markers(index, toxic, bits) > 0

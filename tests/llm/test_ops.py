@@ -321,6 +321,15 @@ def test_toxicity_rare_markers():
     assert not toxicity._markers(index, np.ones(250, int), 12).any() and not toxicity._markers([], np.zeros(0, int), 12).any()
 
 
+def test_toxicity_copies():
+    """Near copies teach once; a shared passage alone drops nothing."""
+    own = [np.arange(1000 * i, 1000 * i + 100, dtype=np.int64) for i in range(4)]
+    shared = np.arange(90_000, 90_020, dtype=np.int64)
+    sets = [np.union1d(own[0], shared), np.union1d(own[1], shared), np.union1d(own[0][:95], shared), own[2], own[2], np.empty(0, np.int64), np.empty(0, np.int64)]
+    minima = [[1, 2], [1, 3], [1, 2], [5, 6], [5, 6], [], []]
+    assert toxicity._one_of_copies(minima, sets).tolist() == [0, 1, 3, 5, 6]
+
+
 def test_ordinal_gradient():
     """The fitted likelihood is at a maximum: no small step along any parameter raises it."""
     r = np.random.default_rng(1)
