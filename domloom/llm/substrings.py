@@ -1,10 +1,12 @@
-"""Substring deduplication on a compacted De Bruijn graph of word windows.
-
-Every window of words is an edge of the graph. Consecutive windows of a document that share an anchor (their smallest
-k-gram) form one nonbranching stretch, and equal text gives equal stretches whatever stands around it; so the graph is
-compacted inside each document, before anything is shuffled. Stretches meet by anchor, those with a source before them are
-repeats as a whole, and only where an anchor branches into unlike stretches are single windows told apart. Repeats carry the
-coordinates of a source. Neighbours on one diagonal compact into spans, and each span's words are compared with the words
+"""Substring deduplication on a De Bruijn graph of words.
+
+Every window of `window` words is an edge between two nodes, its first and its last `window` - 1 words. Consecutive windows
+of a document that share an anchor (their smallest k-gram) are one segment, an edge from the head node of its first window to
+the tail node of its last; segments are short enough for the two nodes to hold all of their words. Equal segments meet by
+(head, tail, length) in one shuffle, and all but the first are repeats as a whole. Where several unlike segments share an
+anchor the graph branches: a count by anchor finds those, a join brings them back, and they are taken apart into single edges,
+which meet by (head, tail) in the same way. Repeats carry the coordinates of a source. Neighbours on one diagonal compact into
+spans, in the batch or after the join that gathers a document's repeats, and each span's words are compared with the words
 that stand at its source's coordinates.
 """
 
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import durable
@@ -23,9 +25,8 @@ from ._words import RINGS, SPACE, U, buffers, chunks, mix, signed, spans
 
 ANCHOR = 5
 SALTS = 64
-ROWS = "one long, two long, id long, start int, n int, kind int, src long, at int"
+EDGES = "anchor long, head long, tail long, n int, id long, start int, src long, at int"
 SPANS = "id long, start int, n int, src long, at int, digest binary"
-FIRST, REPEAT, BRANCH = 0, 1, 2
 
 
 def anchors(hashes: np.ndarray, doc: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,36 +52,50 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, k: int, window: int) -> tuple[n
     return start, place[start]
 
 
-def _table(one, two, ids, start, n, kind, src, at) -> pa.RecordBatch:
-    columns = [np.asarray(x, t) for x, t in zip((one, two, ids, start, n, kind, src, at), (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int32), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "id", "start", "n", "kind", "src", "at"])
-
-
-def _combined(one, two, ids, start, n) -> pa.RecordBatch:
-    """Pre-aggregation: what already has an earlier equal in this batch is a repeat, and travels under a key of its own."""
-    order = np.lexsort((start, ids, two, one))
-    one, two, ids, start, n = (x[order] for x in (one, two, ids, start, n))
-    later, head = _runs(one, two, ids, start)
-    spread = signed(mix(ids.astype(np.int64).view(U) * U(31) + start.astype(np.int64).view(U)))
-    return _table(np.where(later, spread, one), np.where(later, 0, two), ids, start, n, later, ids[head], start[head])
-
-
-def _runs(one, two, ids, start) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted rows: whether a row with the same keys starts earlier, and the place of the first row of the keys."""
-    opens = np.ones(len(one), bool)
-    opens[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    head = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-    return (ids != ids[head]) | (start != start[head]), head
-
-
-def _stretches(window: int, k: int):
-    """Rows (id, text) to stretches (anchor, body, id, start, windows, kind).
-
-    The anchor's hash and the body's come from independent families over all words of the stretch, so that stretches are
-    told apart by 128 bits.
-    """
+def _edges(anchor: np.ndarray, head: np.ndarray, tail: np.ndarray, n: np.ndarray, ids: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Pre-aggregation: of equal edges the first in the batch goes on under its key. The others are repeats of it; they travel
+    under keys of their own, and those that follow one another on a diagonal of one source are one row."""
+    order = np.lexsort((start, ids, n, tail, head))
+    anchor, head, tail, n, ids, start = (x[order] for x in (anchor, head, tail, n, ids, start))
+    opens = np.ones(len(n), bool)
+    opens[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]) | (n[1:] != n[:-1])
+    first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+    later = (ids != ids[first]) | (start != start[first])
+    of = first[later]
+    runs = _compacted(start[later], n[later], ids[of], start[of], ids[later])
+    keep = ~later
+    none = np.zeros(int(keep.sum()), bool)
+    spread = signed(mix(runs[4].view(U) * U(31) + runs[0].astype(np.int64).view(U)))
+    zero = np.zeros(len(spread), np.int64)
+    sent = np.concatenate([~none, np.zeros(len(spread), bool)])
+    columns = [
+        np.concatenate([x[keep], y])
+        for x, y in ((anchor, zero), (head, spread), (tail, zero), (n, runs[1]), (ids, runs[4]), (start, runs[0]), (ids, runs[2]), (start, runs[3]))
+    ]
+    types = (np.int64, np.int64, np.int64, np.int32, np.int64, np.int32, np.int64, np.int32)
+    arrays = [pa.array(c.astype(t), mask=sent if k > 5 else None) for k, (c, t) in enumerate(zip(columns, types, strict=True))]
+    return pa.RecordBatch.from_arrays(arrays, ["anchor", "head", "tail", "n", "id", "start", "src", "at"])
+
+
+def _compacted(start: np.ndarray, n: np.ndarray, src: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Repeats (window starts start..start+n of a document, equal to those from `at` of src) that touch on a diagonal, as one."""
+    start, n, at = start.astype(np.int64), n.astype(np.int64), at.astype(np.int64)
+    order = np.lexsort((start, at - start, src, ids))
+    start, n, src, at, ids = (x[order] for x in (start, n, src, at, ids))
+    if not len(start):
+        return start, n, src, at, ids
+    end = start + n
+    new = np.ones(len(start), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (src[1:] != src[:-1]) | (at[1:] - start[1:] != at[:-1] - start[:-1]) | (start[1:] > end[:-1])
+    head = np.flatnonzero(new)
+    return start[head], np.maximum.reduceat(end, head) - start[head], src[head], at[head], ids[head]
+
+
+def _segments(window: int, k: int):
+    """Rows (id, text) to segments: windows in a row that share an anchor, as edges between nodes of window - 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ring = RINGS[0]
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, off = buffers(batch.column(1))
@@ -99,75 +114,53 @@ def _stretches(window: int, k: int):
                 n = np.diff(np.append(head, len(at)))
                 begin, where = at[head], place[head]
                 anchor = RINGS[1].between(RINGS[1].sums(words), where, where + k)
-                sums = RINGS[0].sums(RINGS[0].words(piece, start, end))
-                with np.errstate(over="ignore"):
-                    body = mix(RINGS[0].between(sums, begin, begin + n + window - 1) + (where - begin).astype(U))
-                parts.append((signed(anchor), signed(body), ids[i:j][doc[begin]].astype(np.int64), (begin - first[doc[begin]]).astype(np.int32), n))
+                sums = ring.sums(ring.words(piece, start, end))
+                nodes = (signed(ring.between(sums, x, x + window - 1)) for x in (begin, begin + n))
+                parts.append((signed(anchor), *nodes, n, ids[i:j][doc[begin]].astype(np.int64), begin - first[doc[begin]]))
             if parts:
-                yield _combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                yield _edges(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return run
 
 
-def _windows(window: int):
-    """Rows (id, text, at: [(start, n)]) to single windows (hash, other hash, id, start, 1, kind)."""
+def _single(window: int):
+    """Rows (id, text, at: [(start, n)]) to single windows as edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ring = RINGS[0]
         for batch in batches:
-            ids, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids, lists = batch.column(0).to_pylist(), batch.column(2)
             data, off = buffers(batch.column(1))
+            bounds = lists.offsets.to_numpy()
+            starts, counts = (lists.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
             parts = []
-            for r, at in enumerate(lists):
+            for r in range(len(batch)):
                 piece = data[off[r] : off[r + 1]]
                 s, e, _ = spans(piece, np.array([0, len(piece)]), SPACE)
-                begin = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in at]))
+                a, n = starts[bounds[r] : bounds[r + 1]], counts[bounds[r] : bounds[r + 1]]
+                begin = np.unique(np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()))
                 begin = begin[begin + window <= len(s)]
                 if len(begin):
-                    hashes = [signed(ring.between(ring.sums(ring.words(piece, s, e)), begin, begin + window)) for ring in RINGS]
-                    parts.append((*hashes, np.full(len(begin), ids[r], np.int64), begin.astype(np.int32), np.ones(len(begin), np.int32)))
+                    sums = ring.sums(ring.words(piece, s, e))
+                    nodes = [signed(ring.between(sums, x, x + window - 1)) for x in (begin, begin + 1)]
+                    parts.append((np.zeros(len(begin), np.int64), *nodes, np.ones(len(begin), np.int64), np.full(len(begin), ids[r], np.int64), begin))
             if parts:
-                yield _combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                yield _edges(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return run
 
 
-def _sweep(branching: bool):
-    """Of rows sorted by keys, id and start: the repeats and, if branching, first rows whose key `one` has several `two`.
+def _met(edges: DataFrame) -> DataFrame:
+    """edges with the coordinates of an earlier equal one in src and at; null where there is none.
 
-    Streams: of a key, only the first rows of the current `one` are held.
+    An edge has one row a batch at most, whatever the number of its copies, and rows of a key stream through the window in
+    order: neither a hot edge nor a hot anchor is held.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            if not len(rows[0]):
-                continue
-            one, two, ids, start, n, kind, src, at = rows
-            sent = kind == REPEAT
-            later, head = _runs(one, two, ids, start)
-            opens = head == np.arange(len(head))
-            later = (later | sent) & ~(opens & ~sent)
-            if later.any():
-                src, at = np.where(sent, src, ids[head]), np.where(sent, at, start[head])
-                yield _table(one[later], two[later], ids[later], start[later], n[later], np.full(later.sum(), REPEAT), src[later], at[later])
-            keep = opens & ~sent
-            last = keep & (one == one[-1])
-            if branching and (done := keep & ~last).any():
-                yield branches([x[done] for x in rows])
-            stay = np.flatnonzero(last if branching else keep)
-            held = [x[stay if branching else stay[-1:]] for x in rows]
-        if branching and held is not None and len(held[0]):
-            yield branches(held)
-
-    def branches(rows: list[np.ndarray]) -> pa.RecordBatch:
-        _, where, counts = np.unique(rows[0], return_inverse=True, return_counts=True)
-        several = counts[where] > 1
-        return _table(*(x[several] for x in rows[:5]), np.full(several.sum(), BRANCH), *(x[several] for x in rows[6:]))
-
-    return run
+    w = Window.partitionBy("head", "tail", "n").orderBy("id", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = edges.withColumn("f_id", F.first("id").over(w)).withColumn("f_start", F.first("start").over(w))
+    later = (F.col("id") != F.col("f_id")) | (F.col("start") != F.col("f_start"))
+    src, at = F.coalesce("src", F.when(later, F.col("f_id"))), F.coalesce("at", F.when(later, F.col("f_start")))
+    return df.select("anchor", "id", "start", "n", src.alias("src"), at.alias("at"))
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -189,14 +182,8 @@ def _spans(window: int):
             for r, i in enumerate(ids):
                 part = slice(at[r], at[r + 1])
                 words = raw[off[r] : off[r + 1]].split()
-                order = np.lexsort((start[part], source[part] - start[part], src[part]))
-                a, b, c, d = (x[part][order] for x in (start, n, src, source))
-                end = a + b
-                new = np.ones(len(a), bool)
-                new[1:] = (c[1:] != c[:-1]) | (d[1:] - a[1:] != d[:-1] - a[:-1]) | (a[1:] > end[:-1])
-                head = np.flatnonzero(new)
-                last = np.maximum.reduceat(end, head)
-                for s, e, x, y in zip(a[head].tolist(), last.tolist(), c[head].tolist(), d[head].tolist(), strict=True):
+                a, size, c, d, _ = _compacted(start[part], n[part], src[part], source[part], np.zeros(part.stop - part.start, np.int64))
+                for s, e, x, y in zip(a.tolist(), (a + size).tolist(), c.tolist(), d.tolist(), strict=True):
                     if e + window - 1 <= len(words):
                         out.append((i, s, e - s, x, y, _digest(words[s : e + window - 1])))
             columns = list(zip(*out, strict=True)) or [()] * 6
@@ -259,25 +246,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covers it whose word sequence also starts earlier: in a document of a smaller id, or earlier in the same one. Windows
     are judged on the input.
 
-    Scale. A document sends one row for each stretch, about a ninth of its words at 20 words and anchors of 5; batches are
-    combined first, so that a passage shared by a third of all rows sends one row a batch to its key. Rows of a key are
-    streamed in order and never gathered. Spans of one source are made distinct before they meet its text, in an equi join
-    that AQE splits where a source is hot. A span whose words differ from its source's is no repeat.
+    Scale. A document sends one row for each segment, about a ninth of its words at 20 words and anchors of 5; batches are
+    combined first, so that a passage shared by a third of all rows sends one row a batch to its key. Keys are whole segments
+    and windows; an anchor is a key of a partially aggregated count and of an equi join only, which AQE splits. Spans of one
+    source are made distinct before they meet its text, in an equi join that AQE splits where a source is hot. A span whose
+    words differ from its source's is no repeat.
 
     Edge cases. Null, empty or short texts: nothing goes. Rows that share an id are one document: an equal text at the same
     start is not earlier, and what goes from one goes from all; if their texts differ, spans that a source's text doesn't bear out
     stay. Rows without an id lose nothing and are no source.
     """
+    if not 2 <= anchor < window:
+        raise ValueError("an anchor has two words or more, and fewer than a window")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.where("id IS NOT NULL").mapInArrow(_stretches(window, anchor), ROWS)
-    swept = lambda df, branching: df.repartition("one").sortWithinPartitions("one", "two", "id", "start").mapInArrow(_sweep(branching), ROWS)
-    found = durable(swept(rows, True).select("id", "start", "n", "kind", "src", "at"), "stretches")
-
     known = texts.where("id IS NOT NULL")
-    branch = found.where(F.col("kind") == BRANCH).groupBy(F.col("id").alias("b_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
-    single = known.join(branch, F.col("id") == F.col("b_id")).select("id", "text", "at").mapInArrow(_windows(window), ROWS)
+    found = durable(_met(known.mapInArrow(_segments(window, anchor), EDGES)), "segments")
+
+    lone = found.where("src IS NULL")
+    branching = lone.groupBy(F.col("anchor").alias("b_anchor")).count().where("count > 1").select("b_anchor")
+    branch = lone.join(branching, F.col("anchor") == F.col("b_anchor")).groupBy(F.col("id").alias("b_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    single = known.join(branch, F.col("id") == F.col("b_id")).select("id", "text", "at").mapInArrow(_single(window), EDGES)
     columns = ("id", "start", "n", "src", "at")
-    repeats = found.where(F.col("kind") == REPEAT).select(*columns).union(swept(single, False).select(*columns))
+    repeats = found.union(_met(single)).where("src IS NOT NULL").select(*columns)
     listed = repeats.groupBy(F.col("id").alias("r_id")).agg(F.collect_list(F.struct("start", "n", "src", "at")).alias("at"))
     spans = durable(known.join(listed, F.col("id") == F.col("r_id")).select("id", "text", "at").mapInArrow(_spans(window), SPANS), "spans")
 
