@@ -50,6 +50,99 @@ def _lead(data: str) -> tuple[str, str]:
     return data[: len(data) - len(rest)], rest
 
 
+class OpenElements(list):
+    """The stack of open elements, with the places of each HTML name and of the elements that end a scope, so that a scope test
+    takes the same time at any depth. Changes below the top are rare; the places are then found anew."""
+
+    def __init__(self) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.members: dict[int, int] = {}
+        self.fresh = not len(self)
+
+    def _note(self, i: int, n: Node) -> None:
+        self.members[id(n)] = self.members.get(id(n), 0) + 1
+        if n.ns == "html":
+            self.places.setdefault(n.name, []).append(i)
+        if n.name in SCOPE if n.ns == "html" else (n.ns, n.name) in SCOPE_FOREIGN:
+            self.walls.append(i)
+
+    def _look(self) -> None:
+        if not self.fresh:
+            self._forget()
+            for i, n in enumerate(self):
+                self._note(i, n)
+            self.fresh = True
+
+    def append(self, n: Node) -> None:
+        super().append(n)
+        if self.fresh:
+            self._note(len(self) - 1, n)
+
+    def pop(self) -> Node:
+        n = super().pop()
+        if self.fresh:
+            i = len(self)
+            left = self.members[id(n)] - 1
+            if left:
+                self.members[id(n)] = left
+            else:
+                del self.members[id(n)]
+            if n.ns == "html":
+                self.places[n.name].pop()
+            if self.walls and self.walls[-1] == i:
+                self.walls.pop()
+        return n
+
+    def insert(self, i: int, n: Node) -> None:
+        self.fresh = False
+        super().insert(i, n)
+
+    def __setitem__(self, i, n) -> None:
+        self.fresh = False
+        super().__setitem__(i, n)
+
+    def __delitem__(self, i) -> None:
+        if isinstance(i, slice) and i.stop is None and i.step is None:
+            for _ in range(len(self) - i.indices(len(self))[0]):
+                self.pop()
+            return
+        self.fresh = self.fresh and i in (-1, len(self) - 1)
+        if self.fresh:
+            self.pop()
+        else:
+            super().__delitem__(i)
+
+    def __contains__(self, n: object) -> bool:
+        self._look()
+        return id(n) in self.members
+
+    def index(self, n: Node) -> int:
+        """Where an element stands, looked for from the top."""
+        for i in range(len(self) - 1, -1, -1):
+            if self[i] is n:
+                return i
+        raise ValueError("not open")
+
+    def reach(self, names: tuple[str, ...]) -> int:
+        """The place of the topmost HTML element of one of the names; -1 if there is none."""
+        self._look()
+        best = -1
+        for name in names:
+            at = self.places.get(name)
+            if at and at[-1] > best:
+                best = at[-1]
+        return best
+
+    def wall(self) -> int:
+        """The place of the topmost element that ends a scope; -1 if there is none."""
+        self._look()
+        return self.walls[-1] if self.walls else -1
+
+
 class Builder:
     def __init__(self, html: str, *, fragment: tuple[str, str | None] | None = None, locations: bool = False, collect_errors: bool = False, iframe_srcdoc: bool = False, **options):
         self.lexer = Lexer(html, collect_errors=collect_errors, **options)
@@ -57,7 +150,7 @@ class Builder:
         self.errors: list[tuple[str, int, str | None]] = []
         self.fragment = fragment
         self.root = Node("#document-fragment" if fragment else "#document")
-        self.open: list[Node] = []
+        self.open = OpenElements()
         self.active: list[Node | None] = []
         self.modes: list[str] = []
         self.mode, self.original = "initial", "in_body"
@@ -261,33 +354,19 @@ class Builder:
     # ---- scopes
 
     def _in_scope(self, *names: str, extra: tuple[str, ...] = ()) -> bool:
-        for n in reversed(self.open):
-            if n.ns == "html":
-                if n.name in names:
-                    return True
-                if n.name in SCOPE or n.name in extra:
-                    return False
-            elif (n.ns, n.name) in SCOPE_FOREIGN:
-                return False
-        return False
+        return self.open.reach(names) >= max(self.open.wall(), self.open.reach(extra), 0)
 
     def _in_button(self, name: str) -> bool:
         return self._in_scope(name, extra=("button",))
 
     def _in_table_scope(self, *names: str) -> bool:
-        for n in reversed(self.open):
-            if n.ns == "html":
-                if n.name in names:
-                    return True
-                if n.name in ("html", "table", "template"):
-                    return False
-        return False
+        return self.open.reach(names) >= max(self.open.reach(("html", "table", "template")), 0)
 
     def _in_select_scope(self, name: str) -> bool:
-        return any(n.name == name and n.ns == "html" for n in self.open)
+        return self.open.reach((name,)) >= 0
 
     def _has_open(self, name: str) -> bool:
-        return any(n.name == name and n.ns == "html" for n in self.open)
+        return self.open.reach((name,)) >= 0
 
     def _imply(self, but: str | None = None, names=IMPLIED_END) -> None:
         while self.open and self.open[-1].ns == "html" and self.open[-1].name in names and self.open[-1].name != but:
@@ -421,14 +500,11 @@ class Builder:
             self.open.insert(self.open.index(furthest) + 1, new)
 
     def _node_in_scope(self, target: Node) -> bool:
-        for n in reversed(self.open):
-            if n is target:
-                return True
-            if (n.ns == "html" and n.name in SCOPE) or (n.ns, n.name) in SCOPE_FOREIGN:
-                return False
-        return False
+        return target in self.open and self.open.index(target) >= self.open.wall()
 
     def _any_end(self, t: Token) -> None:
+        if not self._has_open(t.name):
+            return self.error("unexpected-end-tag", t.name)
         for i in range(len(self.open) - 1, -1, -1):
             n = self.open[i]
             if n.name == t.name and n.ns == "html":
@@ -458,6 +534,8 @@ class Builder:
 
     def _foreign(self, t: Token) -> None:
         if t.kind == "text":
+            for _ in range(t.data.count("\0")):
+                self.error("invalid-codepoint-in-foreign-content")
             if t.data.strip(WS + "\0"):
                 self.frameset_ok = False
             self._text(t.data.replace("\0", "�"))
@@ -602,6 +680,9 @@ class Builder:
 
     def _m_before_head(self, t: Token) -> None:
         if t.kind == "text":
+            if "\0" in t.data:
+                self.error("invalid-codepoint-before-head")
+                t.data = t.data.replace("\0", "")
             _, t.data = _lead(t.data)
             if not t.data:
                 return
@@ -743,6 +824,8 @@ class Builder:
                 self._insert(t)
                 self.mode = "in_frameset"
                 return None
+            if name == "input" and t.attrs.get("type", "").lower() == "hidden":
+                return self.error("unexpected-hidden-input-after-head")
             if name in HEAD_TAGS:
                 self.error("unexpected-start-tag", name)
                 self.open.append(self.head)
@@ -773,6 +856,7 @@ class Builder:
     def _body_text(self, t: Token) -> None:
         data = t.data
         if "\0" in data:
+            self.error("invalid-codepoint")
             data = data.replace("\0", "")
             if not data:
                 return
@@ -868,7 +952,7 @@ class Builder:
     def _b_li(self, t: Token) -> None:
         self.frameset_ok = False
         names = ("li",) if t.name == "li" else ("dd", "dt")
-        for n in reversed(self.open):
+        for n in reversed(self.open) if self.open.reach(names) >= 0 else ():
             if n.name in names and n.ns == "html":
                 self._imply(n.name)
                 if self.open[-1].name != n.name:
@@ -1200,7 +1284,7 @@ class Builder:
             self._text(space)
             if not rest:
                 return None
-            self.error("unexpected-characters-in-column-group")
+            self.error("unexpected-characters-in-template-column-group" if self.open[-1].name == "template" else "unexpected-characters-in-column-group")
             t.data = rest
         elif t.kind == "comment":
             return self._comment(t)

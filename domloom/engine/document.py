@@ -10,10 +10,10 @@ from . import text as _text
 from .builder import Builder
 from .dom import Node
 from .dump import dump
-from .edits import apply_and_tell
+from .edits import apply_and_tell, quotes_source
 from .encoding import decode
 from .messages import message
-from .policy import SanitizationPolicy, sanitize
+from .policy import ESCAPE, SanitizationPolicy, sanitize
 
 
 class StrictModeError(SyntaxError):
@@ -36,6 +36,8 @@ class Options:
     iframe_srcdoc: bool = False
     xml_coercion: bool = False
     discard_bom: bool = True
+    initial_state: str = "data"
+    last_start_tag: str = ""
     compiled: list = field(default_factory=list)
 
 
@@ -44,8 +46,10 @@ class Document:
         self.options, self.encoding = options, None
         if isinstance(source, bytes):
             source, self.encoding = decode(source, transport)
+        # Escaped tags are quoted from the source, so their places are kept.
+        quoting = (options.safe and options.policy is not None and options.policy.disallowed_tag_handling == ESCAPE) or any(map(quotes_source, options.compiled))
         builder = Builder(
-            source or "", fragment=options.fragment, locations=options.locations, collect_errors=options.collect_errors or options.strict,
+            source or "", fragment=options.fragment, locations=options.locations or quoting, collect_errors=options.collect_errors or options.strict,
             iframe_srcdoc=options.iframe_srcdoc, xml_coercion=options.xml_coercion, discard_bom=options.discard_bom,
         )
         self.root = builder.parse()
@@ -60,25 +64,40 @@ class Document:
             raise StrictModeError(f"{e['code']} at {e['line']}:{e['column']}")
         self.reports: list[dict] = []
         if options.compiled:
-            told, emitted = apply_and_tell(self.root, options.compiled, source=builder.lexer.s if options.locations else None)
+            told, emitted = apply_and_tell(self.root, options.compiled, source=builder.lexer.s)
             for text, n in told:
                 line, column = self._where(n)
                 self.reports.append({"message": text, "name": n.name if n is not None else None, "line": line, "column": column})
-            for code, n, text in emitted:
-                line, column = self._where(n)
-                self.errors.append({"category": "transform", "code": code, "line": line, "column": column, "message": text or message(code, n.name if n is not None else None)})
+            for category, code, n, text in emitted:
+                self._add(category, code, n, text or message(code, n.name if n is not None else None))
+            self._sort()
 
     def clean(self, node: Node | None = None) -> Node:
         node = node or self.root
-        return sanitize(node, self.options.policy, report=self._unsafe) if self.options.safe else node
+        if not self.options.safe:
+            return node
+        before = len(self.errors)
+        out = sanitize(node, self.options.policy, source=self.lexer.s, report=self._unsafe)
+        if len(self.errors) > before:
+            self._sort()
+        return out
+
+    def _add(self, category: str, code: str, n: Node | None, text: str) -> None:
+        line, column = self._where(n)
+        error = {"category": category, "code": code, "line": line, "column": column, "message": text}
+        if category != "security" or error not in self.errors:
+            self.errors.append(error)
+
+    def _sort(self) -> None:
+        """By place; what has none comes last, in the order it was found."""
+        self.errors.sort(key=lambda e: (e["line"] is None, e["line"] or 0, e["column"] or 0))
 
     def _where(self, n: Node | None) -> tuple[int | None, int | None]:
         return self.lexer.location(n.pos) if n is not None and n.pos is not None else (None, None)
 
     def _unsafe(self, text: str, n: Node) -> None:
         if self.options.policy is not None and self.options.policy.unsafe_handling == "collect":
-            line, column = self._where(n)
-            self.errors.append({"category": "security", "code": "unsafe-html", "line": line, "column": column, "message": text})
+            self._add("security", "unsafe-html", n, text)
 
     def html(self, node: Node | None = None) -> str:
         return _html.render(self.clean(node), self.options.pretty, self.options.indent_size)
@@ -125,7 +144,7 @@ def flatten(root: Node, lexer=None) -> dict[str, list]:
         order.append(n)
         tree = me if parent is None else tree
         line, column = lexer.location(n.pos) if lexer is not None and n.pos is not None else (None, None)
-        a, b, c, d = n.spans or (None, None, None, None)
+        a, b, c, d = (n.spans if lexer is not None else None) or (None, None, None, None)
         doctype = None
         if n.doctype:
             doctype = dict(zip(("name", "public_id", "system_id", "force_quirks"), n.doctype, strict=True))
@@ -133,7 +152,7 @@ def flatten(root: Node, lexer=None) -> dict[str, list]:
         empty = not any(x.name[0] != "#" or (x.name == "#text" and (x.data or "").strip()) for x in n.children)
         values = (
             me, 0, parent, depth, tree, owner, n.name, n.name.lower(), n.ns, attrs, n.data, doctype, 0, 0, 0, 0, None, empty,
-            n.parent.name if n.parent is not None else None, me, 0, n.pos, line, column, a, b, c, d, n.end_tag, n.self_closing,
+            n.parent.name if n.parent is not None else None, me, 0, n.pos if lexer is not None else None, line, column, a, b, c, d, n.end_tag, n.self_closing,
         )
         for f, v in zip(add, values, strict=True):
             f(v)

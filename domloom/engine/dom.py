@@ -32,11 +32,13 @@ class Node:
         child.parent = self
         self.children.insert(at, child)
 
-    def index(self, child: Node) -> int:
-        for i, c in enumerate(self.children):
-            if c is child:
+    def index(self, child: Node, near: int = -1) -> int:
+        """The child's place; `near` and the last place are tried first."""
+        kids = self.children
+        for i in (near, len(kids) - 1):
+            if 0 <= i < len(kids) and kids[i] is child:
                 return i
-        raise ValueError("not a child of this node")
+        return kids.index(child)
 
     def detach(self) -> None:
         if self.parent is not None:

@@ -18,37 +18,43 @@ from . import links as _links
 from .dom import Node
 from .match import matches
 from .names import VOID_OUTPUT
-from .policy import DEFAULT_POLICY, URL_ATTRS, SanitizationPolicy, UrlPolicy, clean_style, merge_tokens, raw_tags
+from .policy import DEFAULT_POLICY, DROP, EMPTY, ESCAPE, KEEP, UNWRAP, URL_ATTRS, SanitizationPolicy, UrlPolicy, clean_style, merge_tokens, raw_tags, tag_verdict
 
 #: What edits of the current document have told, and the errors that callbacks have raised by emit_error.
 _TOLD: ContextVar[list | None] = ContextVar("told", default=None)
 _EMITTED: ContextVar[list | None] = ContextVar("emitted", default=None)
 
-KEEP, DROP, UNWRAP, EMPTY, ESCAPE = "keep", "drop", "unwrap", "empty", "escape"
 Report = Callable[[str, Node | None], None]
 
 
 @dataclass(frozen=True, kw_only=True)
 class Edit_:
-    """What all edits take: whether they run at all, a hook called with each node they change, and one for messages."""
+    """What all edits take: whether they run at all, a hook called with each node they change, and one for messages. guard is
+    the policy whose unsafe_handling the messages fall under, if they are findings."""
 
     enabled: bool = True
     callback: Callable[[Node], None] | None = None
     report: Report | None = None
-
-    def told(self, n: Node, message: str) -> None:
+    guard: SanitizationPolicy | None = None
+
+    def told(self, n: Node, *messages: str) -> None:
+        for message in messages:
+            if self.guard is not None:
+                self.guard.found(message)
+                if self.guard.unsafe_handling == "collect" and (emitted := _EMITTED.get()) is not None:
+                    emitted.append(("security", "unsafe-html", n, message))
+            if self.report is not None:
+                self.report(message, n)
+            if (told := _TOLD.get()) is not None:
+                told.append((message, n))
         if self.callback is not None:
             self.callback(n)
-        if self.report is not None:
-            self.report(message, n)
-        if (told := _TOLD.get()) is not None:
-            told.append((message, n))
 
 
 def emit_error(code: str, node: Node | None = None, *, message: str | None = None) -> None:
     """From a callback: add an error of category 'transform' to the document's. Outside of edits it does nothing."""
     if (emitted := _EMITTED.get()) is not None:
-        emitted.append((code, node, message))
+        emitted.append(("transform", code, node, message))
 
 
 @dataclass(frozen=True)
@@ -104,6 +110,13 @@ class Decide(Selected):
         return self.selector == "*" or super().hits(n)
 
 
+@dataclass(frozen=True)
+class Judge(Edit_):
+    """A policy's verdict on each node: an action and its finding."""
+
+    verdict: Callable[[Node], tuple[str, str | None]]
+
+
 @dataclass(frozen=True)
 class EditAttrs(Selected):
     """func returns the new attributes, or None to leave them."""
@@ -191,38 +204,39 @@ def glob(pattern: str) -> re.Pattern[str]:
 
 
 def expand(e: Sanitize) -> list[Edit_]:
-    """A policy as edits of one thing each."""
+    """A policy as edits of one thing each. Findings go to the policy, then to the edit's report."""
     p = e.policy or DEFAULT_POLICY
-    more = {"callback": e.callback, "report": e.report}
+    quiet = {"callback": e.callback, "report": e.report}
+    unsafe = {**quiet, "guard": p}
 
-    def tags(n: Node) -> str:
-        if n.name[0] in "#!":
-            return KEEP
-        tag = n.name.lower()
-        if tag in p.drop_content_tags:
-            return DROP
-        if tag in p.allowed_tags:
-            return KEEP
-        return {"unwrap": UNWRAP, "escape": ESCAPE, "drop": DROP}[p.disallowed_tag_handling]
-
-    out: list[Edit_] = []
-    if p.drop_comments:
-        out.append(DropComments(**more))
-    if p.drop_doctype:
-        out.append(DropDoctype(**more))
-    out.append(Decide("*", lambda n: DROP if n.name.lower() in p.drop_content_tags else KEEP, **more))
-    if p.drop_foreign_namespaces:
-        out.append(DropForeignNamespaces(**more))
-    out += [
-        Decide("*", tags, **more),
-        DropAttrs("*", patterns=("on*", "srcdoc", "*:*"), **more),
-        AllowlistAttrs("*", allowed_attributes={**p.allowed_attributes, "a": {*p.allowed_attributes.get("a", ()), "rel"}} if p.force_link_rel else p.allowed_attributes, **more),
-        DropUrlAttrs("*", url_policy=p.url_policy, **more),
-        AllowStyleAttrs("*", allowed_css_properties=p.allowed_css_properties, **more),
-    ]
+    def content(n: Node) -> tuple[str, str | None]:
+        return tag_verdict(p, n, False) if n.name.lower() in p.drop_content_tags else (KEEP, None)
+
+    allowed = p.allowed_attributes
     if p.force_link_rel:
-        out.append(MergeAttrs("a", attr="rel", tokens=p.force_link_rel, **more))
-    return out
+        allowed = {**allowed, "a": {*allowed.get("a", ()), "rel"}}
+    steps = (
+        (True, Judge(content, **unsafe)),
+        (p.drop_comments, DropComments(**quiet)),
+        (p.drop_doctype, DropDoctype(**quiet)),
+        (p.drop_foreign_namespaces, DropForeignNamespaces(**unsafe)),
+        (True, Judge(lambda n: tag_verdict(p, n, False) if n.is_element else (KEEP, None), **unsafe)),
+        (True, DropAttrs("*", patterns=("on*", "srcdoc", "*:*"), **unsafe)),
+        (True, AllowlistAttrs("*", allowed_attributes=allowed, **unsafe)),
+        (True, DropUrlAttrs("*", url_policy=p.url_policy, **unsafe)),
+        (True, AllowStyleAttrs("*", allowed_css_properties=p.allowed_css_properties, **unsafe)),
+        (bool(p.force_link_rel), MergeAttrs("a", attr="rel", tokens=p.force_link_rel, **quiet)),
+    )
+    return [edit for wanted, edit in steps if wanted]
+
+
+def quotes_source(edits: Sequence[object]) -> bool:
+    """Whether an edit may escape tags, so that the parser must note where they stood."""
+    return any(
+        isinstance(e, Decide) or (isinstance(e, Sanitize) and (e.policy or DEFAULT_POLICY).disallowed_tag_handling == "escape") or (isinstance(e, Stage) and quotes_source(e.transforms))
+        or (isinstance(e, Judge) and e.guard is not None and e.guard.disallowed_tag_handling == "escape")
+        for e in edits
+    )
 
 
 def compile_edits(edits: Sequence[object]) -> list[list[Edit_]]:
@@ -276,6 +290,7 @@ class _Walk:
     def __init__(self, batch: Sequence[Edit_], source: str | None):
         self.batch, self.source = batch, source
         self.first: dict[int, int] = {}
+        self.at = 0
         of = lambda kind: frozenset(t for e in batch if isinstance(e, kind) for t in e.skip_tags)
         self.no_links, self.no_collapse = of(Linkify), of(CollapseWhitespace)
 
@@ -287,7 +302,7 @@ class _Walk:
             if i >= len(parent.children):
                 stack.pop()
                 continue
-            n = parent.children[i]
+            n, self.at = parent.children[i], i
             if self._visit(n, self.first.pop(id(n), 0)):
                 top[1] += 1
                 if n.content is not None:
@@ -301,13 +316,19 @@ class _Walk:
                 return False
         return True
 
+    def _drop(self, n: Node) -> None:
+        """Take out the node of the walk's current place."""
+        if n.parent is not None:
+            del n.parent.children[n.parent.index(n, self.at)]
+            n.parent = None
+
     def _hoist(self, n: Node, nodes: list[Node], first: int) -> None:
         parent = n.parent
-        at = parent.index(n)
-        del parent.children[at]
+        at = parent.index(n, self.at)
+        parent.children[at : at + 1] = nodes
         n.parent = None
-        for j, c in enumerate(nodes):
-            parent.insert(at + j, c)
+        for c in nodes:
+            c.parent = parent
             self.first[id(c)] = first
 
     def _kids(self, n: Node) -> list[Node]:
@@ -332,14 +353,17 @@ class _Walk:
             if name != ("#comment" if isinstance(e, DropComments) else "!doctype"):
                 return True
             e.told(n, "dropped " + ("comment" if name == "#comment" else "doctype"))
-            n.detach()
+            self._drop(n)
             return False
         if isinstance(e, DropForeignNamespaces):
             if n.ns in (None, "html"):
                 return True
-            e.told(n, f"dropped <{name}> of a foreign namespace")
-            n.detach()
+            e.told(n, f"Unsafe tag '{name.lower()}' (foreign namespace)")
+            self._drop(n)
             return False
+        if isinstance(e, Judge):
+            action, finding = e.verdict(n)
+            return action == KEEP or self._decide(e, n, k, action, finding)
         if not isinstance(e, Selected) or not e.hits(n):
             return True
         if isinstance(e, Decide):
@@ -359,12 +383,12 @@ class _Walk:
         self._attributes(e, n)
         return True
 
-    def _decide(self, e: Edit_, n: Node, k: int, action: str) -> bool:
+    def _decide(self, e: Edit_, n: Node, k: int, action: str, finding: str | None = None) -> bool:
         if action == KEEP:
             return True
-        e.told(n, f"{action} <{n.name}>")
+        e.told(n, finding or f"{action} <{n.name}>")
         if action == DROP:
-            n.detach()
+            self._drop(n)
             return False
         if action == EMPTY:
             for c in self._kids(n):
@@ -383,41 +407,46 @@ class _Walk:
     def _attributes(self, e: Selected, n: Node) -> None:
         if n.attrs is None:
             return
-        old = dict(n.attrs)
+        old, findings = dict(n.attrs), []
+        tag = n.name.lower()
         if isinstance(e, SetAttrs):
             new = {**old, **{k: None if v is None else str(v) for k, v in e.attributes.items()}}
         elif isinstance(e, EditAttrs):
             got = e.func(n)
             new = old if got is None else dict(got)
         elif isinstance(e, DropAttrs):
-            tests = [glob(p) for p in e.patterns]
-            new = {k: v for k, v in old.items() if not any(t.fullmatch(k.lower()) for t in tests)}
+            tests = [(p, glob(p)) for p in e.patterns]
+            new = {}
+            for key, v in old.items():
+                if fits := next((p for p, t in tests if t.fullmatch(key.lower())), None):
+                    findings.append(f"Unsafe attribute '{key.lower()}' (matched pattern '{fits}')")
+                else:
+                    new[key] = v
         elif isinstance(e, AllowlistAttrs):
-            allowed = {x.lower() for t in ("*", n.name.lower()) for x in e.allowed_attributes.get(t, ())}
+            allowed = {x.lower() for t in ("*", tag) for x in e.allowed_attributes.get(t, ())}
             new = {k.lower(): v for k, v in old.items() if k.lower() in allowed}
+            findings = [f"Unsafe attribute '{k.lower()}' (not allowed)" for k in old if k.strip() and k.lower() not in allowed]
         elif isinstance(e, DropUrlAttrs):
             new = {}
             for key, v in old.items():
                 low = key.lower()
                 if low in URL_ATTRS:
-                    v = e.url_policy.clean(n.name.lower(), low, v)
-                    if v is None:
+                    kept = e.url_policy.clean(tag, low, v)
+                    if kept is None:
+                        findings.append(f"Unsafe URL in attribute '{low}'" + (" (no rule)" if v is not None and (tag, low) not in e.url_policy.allow_rules else ""))
                         continue
+                    v = kept
                 new[key] = v
         elif isinstance(e, AllowStyleAttrs):
-            new = {}
-            for key, v in old.items():
-                if key.lower() == "style":
-                    v = clean_style(v, e.allowed_css_properties)
-                    if v is None:
-                        continue
-                new[key] = v
+            new = {k: clean_style(v, e.allowed_css_properties) if k.lower() == "style" else v for k, v in old.items()}
+            findings = ["Unsafe inline style in attribute 'style'" for k, v in new.items() if k.lower() == "style" and v is None]
+            new = {k: v for k, v in new.items() if k.lower() != "style" or v is not None}
         else:
             merged = merge_tokens(old.get(e.attr), e.tokens)
             new = {**old, e.attr: merged} if merged else old
         if new != old:
+            e.told(n, *(findings or [f"changed attributes of <{n.name}>"]))
             n.attrs = new
-            e.told(n, f"changed attributes of <{n.name}>")
 
     def _linkify(self, e: Linkify, n: Node, k: int) -> bool:
         if not n.data or _inside(n, self.no_links):

@@ -8,8 +8,8 @@ import re
 from .dom import Node
 from .names import SPECIAL, VOID_OUTPUT
 
-#: The layout recurses; deeper trees come out compact.
-DEEPEST = 200
+#: Levels that are indented; deeper ones stand as far in as the last. 100,000 nested elements would print 10 GB of blanks.
+INDENTED = 1000
 PRESERVING = frozenset("pre textarea code script style".split())
 #: Elements that are laid out as blocks. Fixed values.
 LAYOUT = frozenset(
@@ -92,7 +92,34 @@ def _is_break(data: str) -> bool:
     return bool(data) and (bool(re.search(r"[\n\r\t\f]", data)) or len(data) > 2)
 
 
+#: A rendering in parts: strings, and the parts of children. Joined once, at the end.
+Parts = list
+
+
+def _joined(parts: Parts) -> str:
+    out: list[str] = []
+    stack = [iter(parts)]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, list):
+                stack.append(iter(x))
+                break
+            out.append(x)
+        else:
+            stack.pop()
+    return "".join(out)
+
+
+def _by_lines(lines: list) -> Parts:
+    out: Parts = []
+    for line in lines:
+        out += ["\n", line] if out else [line]
+    return out
+
+
 class _Layout:
+    """Renderers are generators: they yield (child, depth) and are sent its parts, so trees of any depth need no recursion."""
+
     def __init__(self, size: int):
         self.size = size
         self.has: dict[tuple[int, int], bool] = {}
@@ -102,49 +129,73 @@ class _Layout:
         names = LAYOUT if which else SPECIAL
         if not n.is_element:
             return False
-        key = (id(n), which)
-        if key not in self.has:
-            stack, found = [n], False
-            while stack and not found:
-                c = stack.pop()
-                if c.is_element:
-                    found = c.name in names
-                    stack += c.children
-            self.has[key] = found
-        return self.has[key]
-
-    def render(self, n: Node, depth: int) -> str:
-        pad = " " * (depth * self.size)
+        stack = [(n, False)]
+        while stack:
+            c, again = stack.pop()
+            key = (id(c), which)
+            if key in self.has:
+                continue
+            kids = [k for k in c.children if k.is_element]
+            if again or c.name in names or not kids:
+                self.has[key] = c.name in names or any(self.has.get((id(k), which), False) for k in kids)
+            else:
+                stack.append((c, True))
+                stack += [(k, False) for k in kids]
+        return self.has[id(n), which]
+
+    def pad(self, depth: int) -> str:
+        return " " * (min(depth, INDENTED) * self.size)
+
+    def run(self, n: Node) -> str:
+        stack, sent = [self.render(n, 0)], None
+        while True:
+            try:
+                stack.append(self.render(*stack[-1].send(sent)))
+                sent = None
+            except StopIteration as done:
+                stack.pop()
+                sent = done.value
+                if not stack:
+                    return _joined(sent)
+
+    def render(self, n: Node, depth: int):
+        pad = self.pad(depth)
         name = n.name
         if name == "#text":
             data = (n.data or "").strip()
-            return pad + escape_text(data) if data else ""
+            return [pad + escape_text(data)] if data else []
         if name == "#comment":
-            return f"{pad}<!--{n.data or ''}-->"
+            return [f"{pad}<!--{n.data or ''}-->"]
         if name == "!doctype":
-            return f"{pad}<!DOCTYPE html>"
+            return [f"{pad}<!DOCTYPE html>"]
         if name[0] == "#":
-            return "\n".join(x for c in n.children if (x := self.render(c, depth)))
+            lines = []
+            for c in n.children:
+                if x := (yield c, depth):
+                    lines.append(x)
+            return _by_lines(lines)
         head, tail = pad + start_tag(name, n.attrs), f"</{name}>"
         if name in VOID_OUTPUT:
-            return head
+            return [head]
         kids = _children(n)
         if not kids:
-            return head + tail
+            return [head + tail]
         if name in PRESERVING:
-            return head + "".join(map(compact, kids)) + tail
+            return [head, *map(compact, kids), tail]
         if all(c.name == "#text" for c in kids):
-            return head + escape_text(squeeze("".join(c.data or "" for c in n.children))) + tail
+            return [head + escape_text(squeeze("".join(c.data or "" for c in n.children))) + tail]
         layouts = (self._lines, self._runs, self._mixed, self._spaced) if name in SPECIAL else ()
         for k, layout in enumerate(layouts):
             if k == 2 and self._safe(kids):
                 break
-            lines = layout(kids, depth + 1)
+            lines = yield from layout(kids, depth + 1)
             if lines is not None:
-                return "\n".join([head, *lines, pad + tail])
+                return _by_lines([head, *lines, pad + tail])
         if self._safe(kids):
-            return "\n".join([head, *(x for c in kids if not _blank(c) and (x := self.render(c, depth + 1))), pad + tail])
-        return head + self._inline(kids) + tail
+            lines = yield from self._lines(kids, depth + 1)
+            return _by_lines([head, *(lines or ()), pad + tail])
+        inline = yield from self._inline(kids)
+        return [head, *inline, tail]
 
     def _safe(self, kids: list[Node]) -> bool:
         """Whether every child may stand on a line of its own: no text, no comment, no two inline neighbours."""
@@ -155,13 +206,17 @@ class _Layout:
             return blocky[0]
         return all(a or b for a, b in zip(blocky, blocky[1:], strict=False))
 
-    def _lines(self, kids: list[Node], depth: int) -> list[str] | None:
+    def _lines(self, kids: list[Node], depth: int):
         """Elements alone: a line each."""
         if any(c.name == "#comment" or (c.name == "#text" and not _blank(c)) for c in kids):
             return None
-        return [x for c in kids if not _blank(c) and (x := self.render(c, depth))] or None
+        lines = []
+        for c in kids:
+            if not _blank(c) and (x := (yield c, depth)):
+                lines.append(x)
+        return lines or None
 
-    def _runs(self, kids: list[Node], depth: int) -> list[str] | None:
+    def _runs(self, kids: list[Node], depth: int):
         """The author's breaks between siblings stay breaks; what stands between two is a line."""
         if any(c.name == "#comment" for c in kids):
             return None
@@ -174,28 +229,41 @@ class _Layout:
                 runs.append([])
             else:
                 runs[-1].append(c)
+        runs = [r for r in runs if r]
+        if any(len(run) > 1 and any(self.contains(c, 0) for c in run) for run in runs):
+            return None
         lines = []
-        for run in filter(None, runs):
-            if len(run) > 1 and any(self.contains(c, 0) for c in run):
-                return None
+        for run in runs:
             if len(run) == 1 and run[0].name != "#text":
-                lines.append(self.render(run[0], depth))
-            else:
-                parts = [(c.data or "") if _blank(c) else escape_text(tidy(c.data)) if c.name == "#text" else self.render(c, 0) for c in run]
-                lines.append(" " * (depth * self.size) + "".join(parts))
+                lines.append((yield run[0], depth))
+                continue
+            parts: Parts = [self.pad(depth)]
+            for c in run:
+                if c.name == "#text":
+                    parts.append((c.data or "") if _blank(c) else escape_text(tidy(c.data)))
+                else:
+                    parts.append((yield c, 0))
+            lines.append(parts)
         return lines or None
 
-    def _mixed(self, kids: list[Node], depth: int) -> list[str] | None:
+    def _mixed(self, kids: list[Node], depth: int):
         """Text beside blocks: each block and each inline run on its line."""
         if any(c.name == "#comment" for c in kids) or not any(self.contains(c, 1) for c in kids) or not any(c.name == "#text" and not _blank(c) for c in kids):
             return None
-        pad, lines, run = " " * (depth * self.size), [], []
+        pad, lines, run = self.pad(depth), [], []
 
         def flush() -> None:
-            line = "".join(run).strip(" ")
+            while run and isinstance(run[0], str) and not run[0].lstrip(" "):
+                run.pop(0)
+            while run and isinstance(run[-1], str) and not run[-1].rstrip(" "):
+                run.pop()
+            if run:
+                if isinstance(run[0], str):
+                    run[0] = run[0].lstrip(" ")
+                if isinstance(run[-1], str):
+                    run[-1] = run[-1].rstrip(" ")
+                lines.append([pad, *run])
             run.clear()
-            if line:
-                lines.append(pad + line)
 
         for i, c in enumerate(kids):
             if _blank(c):
@@ -210,14 +278,14 @@ class _Layout:
                 run.append(escape_text(tidy(c.data)))
             elif self.contains(c, 1):
                 flush()
-                if x := self.render(c, depth):
+                if x := (yield c, depth):
                     lines.append(x)
             else:
-                run.append(self.render(c, 0))
+                run.append((yield c, 0))
         flush()
         return lines
 
-    def _spaced(self, kids: list[Node], depth: int) -> list[str] | None:
+    def _spaced(self, kids: list[Node], depth: int):
         """Elements that white space already parts, with text after the last at most: a line each."""
         at = [i for i, c in enumerate(kids) if c.name != "#text"]
         if not at or any(c.name == "#comment" for c in kids):
@@ -225,18 +293,20 @@ class _Layout:
         parted = any(any(_blank(x) for x in kids[a + 1 : b]) for a, b in zip(at, at[1:], strict=False))
         if not parted or any(c.name == "#text" and not _blank(c) for c in kids[: at[-1]]):
             return None
-        pad, lines = " " * (depth * self.size), []
+        lines = []
         for c in kids:
-            x = squeeze(c.data or "") if c.name == "#text" else self.render(c, depth)
-            if x:
-                lines.append(pad + escape_text(x) if c.name == "#text" else x)
+            if c.name != "#text":
+                if x := (yield c, depth):
+                    lines.append(x)
+            elif x := squeeze(c.data or ""):
+                lines.append([self.pad(depth) + escape_text(x)])
         return lines or None
 
-    def _inline(self, kids: list[Node]) -> str:
-        parts = []
+    def _inline(self, kids: list[Node]):
+        parts: Parts = []
         for i, c in enumerate(kids):
             if c.name != "#text":
-                parts.append(self.render(c, 0))
+                parts.append((yield c, 0))
                 continue
             data = c.data or ""
             if _blank(c):
@@ -246,26 +316,13 @@ class _Layout:
                     parts.append(" ")
                     continue
             parts.append(escape_text(tidy(data)))
-        return "".join(parts)
-
-
+        return parts
 
 
 def render(root: Node, pretty: bool = True, indent_size: int = 2) -> str:
-    """HTML of a tree. Trees deeper than the layout goes come out compact."""
-    if not pretty or _depth(root) > DEEPEST:
+    """HTML of a tree, of any depth."""
+    if not pretty:
         return compact(root)
     if root.name == "#document":
-        return "\n".join(x for c in root.children if (x := _Layout(indent_size).render(c, 0)))
-    return _Layout(indent_size).render(root, 0)
-
-
-def _depth(root: Node) -> int:
-    deepest, stack = 0, [(root, 0)]
-    while stack:
-        n, d = stack.pop()
-        deepest = max(deepest, d)
-        stack += [(c, d + 1) for c in n.children]
-        if n.content is not None:
-            stack.append((n.content, d + 1))
-    return deepest
+        return "\n".join(x for c in root.children if (x := _Layout(indent_size).run(c)))
+    return _Layout(indent_size).run(root)

@@ -23,9 +23,13 @@ def lower(s: str) -> str:
     return s.translate(UPPER) if not s.islower() else s
 
 
+#: The last two code points of each plane, and a block of the first one, are no characters.
+NONCHARACTERS = re.compile("[\ufdd0-\ufdef" + "".join(chr(plane << 16 | low) for plane in range(17) for low in (0xFFFE, 0xFFFF)) + "]")
+
+
 def coerce_text(s: str) -> str:
     """XML-safe text: form feeds become spaces, non-characters U+FFFD."""
-    return re.sub("[﷐-﷯￾￿\U0001fffe\U0001ffff\U0002fffe\U0002ffff\U0010fffe\U0010ffff]", "�", s.replace("\f", " "))
+    return NONCHARACTERS.sub("\ufffd", s.replace("\f", " "))
 
 
 def coerce_comment(s: str) -> str:
@@ -90,6 +94,9 @@ class Lexer:
         if self.errors is not None and "\0" in data:
             for m in re.finditer("\0", data):
                 self.error("unexpected-null-character", a + m.start())
+        if self.errors is not None and self.state == "data" and not data.isascii():
+            for m in NONCHARACTERS.finditer(data):
+                self.error("noncharacter-in-input-stream", a + m.start())
         if references and "&" in data:
             data = decode(data, errors=self.errors, base=a)
         return Token("text", a, b, data=coerce_text(data) if self.xml else data)
@@ -337,6 +344,8 @@ class Lexer:
             quirks = True
             return done(i + 1)
         m = re.compile(r"[^\t\n\f >]+").match(s, i)
+        for z in re.finditer("\0", m[0]):
+            self.error("unexpected-null-character", m.start() + z.start())
         name = lower(m[0]).replace("\0", "�")
         i = BLANK.match(s, m.end()).end()
         if i >= n:
@@ -349,51 +358,67 @@ class Lexer:
             quirks = True
             return finish(i)
         i += 6
-        kinds = ("public", "system") if word == "PUBLIC" else ("system",)
-        for kind in kinds:
+        place = f"{word.lower()} keyword"
+        while True:
             j = BLANK.match(s, i).end()
-            if j >= n:
-                return eof()
-            c = s[j]
-            first = kind == kinds[0]
-            if c not in "\"'":
-                if c == ">" and not first:
-                    return done(j + 1)
-                self.error(f"missing-doctype-{kind}-identifier" if c == ">" else f"missing-quote-before-doctype-{kind}-identifier", j)
-                quirks = True
-                return done(j + 1) if c == ">" else finish(j)
-            if j == i:
-                after = f"missing-whitespace-before-doctype-{kind}-identifier" if first else "missing-whitespace-between-doctype-public-and-system-identifiers"
-                self.error(after, j)
-            k = re.compile(f"[{c}>]").search(s, j + 1)
-            value = s[j + 1 : k.start() if k else n].replace("\0", "�")
-            if kind == "public":
-                public = value
-            else:
-                system = value
-            if k is None:
-                return eof()
-            if k[0] == ">":
-                self.error(f"abrupt-doctype-{kind}-identifier", k.start())
-                quirks = True
-                return done(k.end())
-            i = k.end()
-        i = BLANK.match(s, i).end()
-        if i >= n:
-            return eof()
-        if s[i] != ">":
-            self.error("unexpected-character-after-doctype-system-identifier", i)
-            return finish(i)
-        return done(i + 1)
+            at_end, at_bracket, at_quote, otherwise, after = _IDENTIFIERS[place, j > i]
+            c = s[j : j + 1]
+            code = at_end if not c else at_bracket if c == ">" else at_quote if c in "\"'" else otherwise
+            if code:
+                self.error(code, j)
+            if c and c in "\"'" and after:
+                k = re.compile(f"[{c}>]").search(s, j + 1)
+                value = s[j + 1 : k.start() if k else n]
+                for m in re.finditer("\0", value):
+                    self.error("unexpected-null-character", j + 1 + m.start())
+                value = value.replace("\0", "\ufffd")
+                if after == "public":
+                    public = value
+                else:
+                    system = value
+                if k is None or k[0] == ">":
+                    quirks = True
+                    self.error(f"eof-in-doctype-{after}-identifier" if k is None else f"abrupt-doctype-{after}-identifier", k.start() if k else n)
+                    return done(k.end() if k else n)
+                i, place = k.end(), after
+                continue
+            # Only text after a whole system identifier leaves the document out of quirks mode.
+            quirks = quirks or (code is not None and (place != "system" or not c))
+            return done(n) if not c else done(j + 1) if c == ">" else finish(j)
+
+
+#: What follows in a doctype, by what went before and whether white space stands between: the codes at the end of the input, at
+#: '>', at a quote and at anything else (None: no error), and the identifier that a quote opens. Codes are fixed values.
+_IDENTIFIERS = {
+    ("public keyword", False): (
+        "missing-quote-before-doctype-public-identifier", "missing-doctype-public-identifier", "missing-whitespace-before-doctype-public-identifier",
+        "unexpected-character-after-doctype-public-keyword", "public",
+    ),
+    ("public keyword", True): ("missing-doctype-public-identifier", "missing-doctype-public-identifier", None, "missing-quote-before-doctype-public-identifier", "public"),
+    ("public", False): (
+        "missing-whitespace-between-doctype-public-and-system-identifiers", None, "missing-whitespace-between-doctype-public-and-system-identifiers",
+        "unexpected-character-after-doctype-public-identifier", "system",
+    ),
+    ("public", True): ("missing-quote-before-doctype-system-identifier", None, None, "missing-quote-before-doctype-system-identifier", "system"),
+    ("system keyword", False): (
+        "missing-quote-before-doctype-system-identifier", "missing-doctype-system-identifier", "missing-whitespace-after-doctype-public-identifier",
+        "unexpected-character-after-doctype-system-keyword", "system",
+    ),
+    ("system keyword", True): ("missing-doctype-system-identifier", "missing-doctype-system-identifier", None, "missing-quote-before-doctype-system-identifier", "system"),
+    ("system", False): ("eof-in-doctype", None, *["unexpected-character-after-doctype-system-identifier"] * 2, None),
+    ("system", True): ("eof-in-doctype", None, *["unexpected-character-after-doctype-system-identifier"] * 2, None),
+}
 
 
 #: Elements whose content isn't markup, in a stream of tokens without a tree.
 _STREAM_STATES = {"title": "rcdata", "textarea": "rcdata", "script": "script", "plaintext": "plaintext"} | dict.fromkeys(("style", "xmp", "iframe", "noembed", "noframes"), "rawtext")
 
 
-def stream(html: str) -> Iterator[Token]:
-    """Tokens without a tree: elements are all taken as HTML, so CDATA sections are comments."""
-    lexer = Lexer(html)
+def stream(html: str, state: str = "data", raw_tag: str = "") -> Iterator[Token]:
+    """Tokens without a tree: elements are all taken as HTML, so CDATA sections are comments. The lexer may begin in another
+    state than data; raw_tag is the element whose end tag ends it."""
+    lexer = Lexer(html, discard_bom=False)
+    lexer.state, lexer.raw_tag = state, raw_tag
     for t in lexer:
         if t.kind == "start" and (state := _STREAM_STATES.get(t.name)):
             lexer.state, lexer.raw_tag = state, t.name

@@ -1,4 +1,4 @@
-"""Selectors on a tree in the worker, for edits; queries over tables compile to plans instead."""
+"""Selectors on a tree in the worker, for edits and for queries of raw pages; queries over tables compile to plans instead."""
 
 from __future__ import annotations
 
@@ -8,14 +8,86 @@ from .policy import sanitize
 from .text import text_of
 
 
-def _elements(n: Node) -> list[Node]:
-    return [c for c in n.parent.children if c.name[0] != "#"] if n.parent is not None else []
+class Family:
+    """The element children of a node: the place of each, among all and among those of its name."""
+
+    def __init__(self, parent: Node):
+        self.kids = [c for c in parent.children if c.name[0] != "#"]
+        self.at = {id(c): i for i, c in enumerate(self.kids)}
+        self.typed: list[int] = []
+        self.types: dict[str, int] = {}
+        for c in self.kids:
+            name = c.name.lower()
+            self.types[name] = self.types.get(name, 0) + 1
+            self.typed.append(self.types[name])
+
+    def place(self, n: Node, same: bool) -> tuple[int, int]:
+        """1-based place, and how many there are."""
+        i = self.at[id(n)]
+        return (self.typed[i], self.types[n.name.lower()]) if same else (i + 1, len(self.kids))
+
+
+class Tree:
+    """What a query has found out about a tree that it doesn't change: each thing is found out once."""
+
+    def __init__(self) -> None:
+        self.families: dict[int, Family] = {}
+        self.near: dict[tuple[int, int, bool], Node | None] = {}
+
+    def family(self, parent: Node) -> Family:
+        if id(parent) not in self.families:
+            self.families[id(parent)] = Family(parent)
+        return self.families[id(parent)]
+
+    def nearest(self, n: Node, want: tuple[Simple, ...], up: bool) -> Node | None:
+        """The nearest ancestor, or else sibling before, that a compound fits."""
+        passed, found = [], None
+        while True:
+            key = (id(n), id(want), up)
+            if key in self.near:
+                found = self.near[key]
+                break
+            passed.append(key)
+            n = n.parent if up else _before(n, self)
+            if n is None or _compound(n, want, self):
+                found = n
+                break
+        self.near.update(dict.fromkeys(passed, found))
+        return found
+
+
+class Changing(Tree):
+    """A tree that edits change between tests: nothing is kept."""
+
+    def family(self, parent: Node) -> Family:
+        return Family(parent)
+
+    def nearest(self, n: Node, want: tuple[Simple, ...], up: bool) -> Node | None:
+        if up:
+            n = n.parent
+            while n is not None and not _compound(n, want, self):
+                n = n.parent
+            return n
+        for x in reversed(n.parent.children[: n.parent.index(n)] if n.parent is not None else []):
+            if x.name[0] != "#" and _compound(x, want, self):
+                return x
+        return None
+
 
+def _before(n: Node, tree: Tree) -> Node | None:
+    """The element sibling before."""
+    if n.parent is None:
+        return None
+    family = tree.family(n.parent)
+    i = family.at.get(id(n), 0)
+    return family.kids[i - 1] if i else None
 
-def _position(n: Node, same: bool) -> tuple[int, int]:
-    """1-based place among element siblings, and how many there are; (0, 0) without a parent."""
-    found = [c for c in _elements(n) if not same or c.name.lower() == n.name.lower()]
-    return next((i for i, c in enumerate(found, 1) if c is n), 0), len(found)
+
+def _edge(n: Node, last: bool, same: bool) -> bool:
+    """Whether n is the first (or last) element of its parent, or of its name there; no place has to be counted for that."""
+    kids = n.parent.children if n.parent is not None else ()
+    name = n.name.lower()
+    return next((c is n for c in (reversed(kids) if last else kids) if c.name[0] != "#" and (not same or c.name.lower() == name)), False)
 
 
 def nth_holds(a: int, b: int, i: int) -> bool:
@@ -26,7 +98,7 @@ def _attr(n: Node, name: str) -> str | None:
     return next((v for k, v in (n.attrs or {}).items() if k.lower() == name), None)
 
 
-def _simple(n: Node, t: Simple) -> bool:
+def _simple(n: Node, t: Simple, tree: Tree) -> bool:
     if n.name[0] == "#":
         return False
     if t.kind == "any":
@@ -48,50 +120,48 @@ def _simple(n: Node, t: Simple) -> bool:
         }[t.op]
     name = t.name
     if name == "not":
-        return not t.arg.options or not matches(n, t.arg)
+        return not t.arg.options or not any(_complex(n, c, tree) for c in t.arg.options)
     if name == "contains":
         return t.arg in text_of(sanitize(n))
     if name == "root":
         return n.parent is not None and n.parent.name in ("#document", "#document-fragment")
     if name == "empty":
         return not any(c.name[0] != "#" or (c.name == "#text" and (c.data or "").strip()) for c in n.children)
-    i, count = _position(n, "of-type" in name)
+    same = "of-type" in name
     if name.startswith("nth-"):
         ab = nth(t.arg)
-        return ab is not None and nth_holds(*ab, i)
-    return i > 0 and (i == 1 or not name.startswith(("first", "only"))) and (i == count or not name.startswith(("last", "only")))
+        return ab is not None and n.parent is not None and nth_holds(*ab, tree.family(n.parent).place(n, same)[0])
+    return (name.startswith("last") or _edge(n, False, same)) and (name.startswith("first") or _edge(n, True, same))
 
 
-def _compound(n: Node, tests: tuple[Simple, ...]) -> bool:
-    return all(_simple(n, t) for t in tests)
+def _compound(n: Node, tests: tuple[Simple, ...], tree: Tree) -> bool:
+    return all(_simple(n, t, tree) for t in tests)
 
 
-def _complex(n: Node, c: Complex) -> bool:
+def _complex(n: Node, c: Complex, tree: Tree) -> bool:
     """Right to left; each step takes the nearest node that fits and doesn't try another."""
     steps = c.steps
-    if not _compound(n, steps[-1][1]):
+    if not _compound(n, steps[-1][1], tree):
         return False
     for k in range(len(steps) - 1, 0, -1):
         how, want = steps[k][0], steps[k - 1][1]
-        if how in (" ", ">"):
-            n = n.parent
-            while n is not None and how == " " and not _compound(n, want):
-                n = n.parent
+        if how in " ~":
+            n = tree.nearest(n, want, how == " ")
         else:
-            before = _elements(n)
-            before = before[: next((i for i, x in enumerate(before) if x is n), 0)][::-1]
-            n = next((x for x in before if how == "+" or _compound(x, want)), None)
-        if n is None or not _compound(n, want):
+            n = n.parent if how == ">" else _before(n, tree)
+            if n is not None and not _compound(n, want, tree):
+                n = None
+        if n is None:
             return False
     return True
 
 
-def matches(n: Node, selector: Selector | str) -> bool:
+def matches(n: Node, selector: Selector | str, tree: Tree | None = None) -> bool:
     selector = parse(selector) if isinstance(selector, str) else selector
-    return any(_complex(n, c) for c in selector.options)
+    return any(_complex(n, c, tree or Changing()) for c in selector.options)
 
 
 def query(root: Node, css: str) -> list[Node]:
     """Descendants of root that match, in document order."""
-    selector = parse(css)
-    return [n for n in root.walk() if n.name[0] != "#" and matches(n, selector)]
+    selector, tree = parse(css), Tree()
+    return [n for n in root.walk() if n.name[0] != "#" and matches(n, selector, tree)]

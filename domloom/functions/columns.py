@@ -46,7 +46,8 @@ def collapse_whitespace(s: Column | str) -> Column:
 
 
 def xml_text(s: Column | str) -> Column:
-    return F.regexp_replace(F.replace(_c(s), F.lit("\f"), F.lit(" ")), "[\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}\\x{1FFFE}\\x{1FFFF}\\x{10FFFE}\\x{10FFFF}]", "�")
+    last = "".join(f"\\x{{{plane << 16 | low:X}}}" for plane in range(17) for low in (0xFFFE, 0xFFFF))
+    return F.regexp_replace(F.replace(_c(s), F.lit("\f"), F.lit(" ")), f"[\\x{{FDD0}}-\\x{{FDEF}}{last}]", "�")
 
 
 def xml_comment(s: Column | str) -> Column:
@@ -143,6 +144,15 @@ def url_allowed(url: Column | str, rule: UrlRule, default_relative: bool = True)
     return kept
 
 
+def srcset_allowed(srcset: Column | str, rule: UrlRule, default_relative: bool = True) -> Column:
+    """The candidates of a srcset if a rule keeps the URL of each, or null."""
+    parts = F.filter(F.transform(F.split(_c(srcset), ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    url = lambda x: url_allowed(F.regexp_extract(x, r"(?U)^(\S+)", 1), rule, default_relative)
+    size = lambda x: F.regexp_replace(x, r"(?U)^\S+\s*", "")
+    kept = F.transform(parts, lambda x: F.concat(url(x), F.when(size(x) == "", F.lit("")).otherwise(F.concat(F.lit(" "), size(x)))))
+    return F.when((F.size(parts) > 0) & ~F.exists(kept, lambda x: x.isNull()), F.array_join(kept, ", "))
+
+
 def loads_resource(value: Column | str) -> Column:
     """Whether a CSS value may fetch something."""
     bare = F.regexp_replace(_c(value), r"(?s)/\*.*?\*/", "")
@@ -176,8 +186,8 @@ def sanitized_attrs(tag: Column | str, attrs: Column | str, policy: Sanitization
         v = F.when(a["name"] == "style", clean_style(a["value"], policy.allowed_css_properties))
         urls = F.lit(None).cast("string")
         for (t, name), rule in sorted(policy.url_policy.allow_rules.items()):
-            if name != "srcset":
-                urls = F.when((_c(tag) == t) & (a["name"] == name), url_allowed(a["value"], rule, policy.url_policy.default_allow_relative)).otherwise(urls)
+            check = srcset_allowed if name == "srcset" else url_allowed
+            urls = F.when((_c(tag) == t) & (a["name"] == name), check(a["value"], rule, policy.url_policy.default_allow_relative)).otherwise(urls)
         return v.when(a["name"].isin(*sorted(URL_ATTRS)), urls).otherwise(a["value"])
 
     checked = F.transform(kept, lambda a: F.struct(a["name"].alias("name"), value(a).alias("value"), a["name"].isin("style", *sorted(URL_ATTRS)).alias("guarded")))
@@ -194,6 +204,18 @@ def source_line(html: Column | str, line: Column | str) -> Column:
     return F.get(F.split(_c(html), "\r\n?|\n"), _c(line) - 1)
 
 
+def error_span(html: Column | str, line: Column | str, column: Column | str) -> Column:
+    """What to highlight of that line, as 1-based (start, end): the tag around the place, whose '<' is looked for eleven
+    characters back, up to and with the next '>' or the line's end. Null without a line."""
+    text, at = source_line(html, line), _c(column)
+    before = F.substring(text, F.greatest(at - 11, F.lit(1)), F.least(at - 1, F.lit(11)))
+    back = F.locate("<", F.reverse(before))
+    start = F.when((F.substring(text, at, F.lit(1)) == "<") | (back == 0), at).otherwise(at - back)
+    close = F.locate(">", F.substring(text, at, F.length(text)))
+    end = F.when(close > 0, at + close).otherwise(F.greatest(at, F.length(text) + 1))
+    return F.when(text.isNotNull(), F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
+
+
 # ---- encodings
 
 

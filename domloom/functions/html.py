@@ -1,5 +1,6 @@
 """Whole-document functions as vectorised UDFs, and their options. Each call parses once; to get several results of a page,
-use operators.parse, which makes them all in one stage."""
+use operators.parse, which makes them all in one stage and says why a page fails. Here the result of a page that fails is null
+(on_error='raise' to stop)."""
 
 from __future__ import annotations
 
@@ -19,10 +20,19 @@ from ..plans.selectors import parse as parse_selector
 
 
 def _each(make: Callable[[Document], object], returns: str, options: dict, transforms: Sequence = ()):
+    raising = options.pop("on_error", "null") == "raise"
     setup = replace(Options(**options), compiled=compile_edits(transforms))
 
+    def one(h: object) -> object:
+        try:
+            return make(Document(None if pd.isna(h) is True else h, setup))
+        except Exception:
+            if raising:
+                raise
+            return None
+
     def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda h: make(Document(None if pd.isna(h) is True else h, setup)))
+        return pages.map(one)
 
     run.__annotations__ = {"pages": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, returns)

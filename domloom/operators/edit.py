@@ -11,40 +11,26 @@ _EDGE = f"^[{SPACES}]+|[{SPACES}]+$"
 
 
 def _inside(nodes: DataFrame, roots: DataFrame, id_col: str, how: str) -> DataFrame:
-    """Rows of nodes strictly inside one of roots ('left_semi'), or inside none ('left_anti')."""
-    r = roots.select(F.col(id_col).alias("r_doc"), F.col("tree_id").alias("r_tree"), F.col("node_id").alias("r_node"), F.col("post").alias("r_post"))
-    on = (F.col(id_col) == F.col("r_doc")) & (F.col("tree_id") == F.col("r_tree")) & (F.col("r_node") < F.col("node_id")) & (F.col("post") < F.col("r_post"))
+    """Rows of nodes strictly inside one of roots ('left_semi'), or inside none ('left_anti'). A template's content lies in its
+    interval, at any depth, so one join finds all."""
+    r = roots.select(F.col(id_col).alias("r_doc"), F.col("node_id").alias("r_node"), F.col("post").alias("r_post"))
+    on = (F.col(id_col) == F.col("r_doc")) & (F.col("r_node") < F.col("node_id")) & (F.col("post") < F.col("r_post"))
     return nodes.join(r, on, how)
 
 
-def _outside_dropped_templates(kept: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
-    """Without the content of templates that are gone; a template inside a template's content goes with it, level by level,
-    as each pass takes the trees whose owner the pass before took."""
-    while True:
-        gone = nodes.join(kept.select(id_col, "node_id"), [id_col, "node_id"], "left_anti").select(F.col(id_col).alias("g_doc"), F.col("node_id").alias("g_node"))
-        roots = kept.where("content_of IS NOT NULL").join(gone, (F.col(id_col) == F.col("g_doc")) & (F.col("content_of") == F.col("g_node")), "left_semi")
-        trees = roots.select(F.col(id_col).alias("t_doc"), F.col("node_id").alias("t_tree"))
-        if trees.isEmpty():
-            return kept
-        kept = kept.join(trees, (F.col(id_col) == F.col("t_doc")) & (F.col("tree_id") == F.col("t_tree")), "left_anti")
-
-
 def drop_nodes(nodes: DataFrame, css: str, id_col: str = "page_id") -> DataFrame:
     """nodes without the matches and all below them. Positions and counts are those of the input."""
     hit = select_css(nodes, css, id_col)
-    kept = _inside(nodes, hit, id_col, "left_anti").join(hit.select(id_col, "node_id"), [id_col, "node_id"], "left_anti")
-    return _outside_dropped_templates(kept, nodes, id_col)
+    return _inside(nodes, hit, id_col, "left_anti").join(hit.select(id_col, "node_id"), [id_col, "node_id"], "left_anti")
 
 
 def empty_nodes(nodes: DataFrame, css: str, id_col: str = "page_id") -> DataFrame:
-    """nodes without what is below the matches."""
+    """nodes without what is below the matches; the root of a match's own template content stays."""
     hit = select_css(nodes, css, id_col)
-    owners = hit.select(F.col(id_col).alias("o_doc"), F.col("node_id").alias("o_node"))
-    kept = _inside(nodes, hit, id_col, "left_anti")
-    own = kept.where("content_of IS NOT NULL").join(owners, (F.col(id_col) == F.col("o_doc")) & (F.col("content_of") == F.col("o_node")), "left_semi")
-    trees = own.select(F.col(id_col).alias("e_doc"), F.col("node_id").alias("e_tree"))
-    kept = kept.join(trees, (F.col(id_col) == F.col("e_doc")) & (F.col("tree_id") == F.col("e_tree")) & (F.col("node_id") != F.col("e_tree")), "left_anti")
-    return _outside_dropped_templates(kept, nodes, id_col)
+    # Of nested matches the outer one rules.
+    outer = _inside(hit, hit, id_col, "left_anti").select(F.col(id_col).alias("o_doc"), F.col("node_id").alias("o_node"))
+    own = nodes.where("content_of IS NOT NULL").join(outer, (F.col(id_col) == F.col("o_doc")) & (F.col("content_of") == F.col("o_node")), "left_semi")
+    return _inside(nodes, hit, id_col, "left_anti").unionByName(own)
 
 
 def unwrap_nodes(nodes: DataFrame, css: str, id_col: str = "page_id") -> DataFrame:

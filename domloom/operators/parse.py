@@ -32,9 +32,9 @@ SLICE = 64
 NODE_ROWS = 20_000
 
 
-def _tokens(source: str) -> list[dict]:
+def _tokens(source: str, state: str = "data", raw_tag: str = "") -> list[dict]:
     out = []
-    for i, t in enumerate(stream(source)):
+    for i, t in enumerate(stream(source, state, raw_tag)):
         name, public, system, _ = t.doctype or (t.name or None, None, None, False)
         out.append({"seq": i, "kind": t.kind, "name": name, "attrs": [{"name": k, "value": v} for k, v in t.attrs.items()], "data": t.data if t.kind in ("text", "comment") else None, "public_id": public, "system_id": system, "self_closing": t.self_closing})
     return out
@@ -48,7 +48,7 @@ def _make(output: str, doc: Document, source) -> object:
     if output == "nodes":
         return _rows(doc.nodes())
     if output == "tokens":
-        return _tokens(doc.lexer.s)
+        return _tokens(doc.lexer.s, doc.options.initial_state, doc.options.last_start_tag)
     value = getattr(doc, output)
     return value() if callable(value) else value
 
@@ -130,61 +130,66 @@ def _arrow(ddl: str) -> pa.DataType:
     return to_arrow_type(_parse_datatype_string(ddl))
 
 
-def _exploded(df: DataFrame, id_col: str, html_col: str, output: str, options: dict) -> DataFrame:
+def _exploded(df: DataFrame, id_col: str, html_col: str, output: str, options: dict, *, place: str | None = None) -> DataFrame:
+    """The rows of an array output; a document that failed has one row, with nulls and the reason."""
     made = parse(df, html_col, outputs=(output,), keep=(id_col,), **options)
-    return made.select(id_col, F.explode(output).alias("r")).select(id_col, "r.*")
+    rows = F.when(F.col("parse_failure").isNotNull(), F.array(F.lit(None).cast(made.schema[output].dataType.elementType))).otherwise(F.col(output))
+    names = [place] if place else []
+    return made.select(id_col, "parse_failure", (F.posexplode if place else F.explode)(rows).alias(*names, "r")).select(id_col, *names, "r.*", "parse_failure")
 
 
-def nodes(df: DataFrame, id_col: str = "page_id", html_col: str = "html", *, encoding_col: str | None = None, fragment: str | tuple[str, str | None] | None = None, transforms: Sequence = (), on_error: str = "skip", **options) -> DataFrame:
+def nodes(df: DataFrame, id_col: str = "page_id", html_col: str = "html", *, encoding_col: str | None = None, fragment: str | tuple[str, str | None] | None = None, transforms: Sequence = (), on_error: str = "column", **options) -> DataFrame:
     """A row for each node of each document, in the layout of NODE_FIELDS. An ancestor a of d, in the same tree_id, has
     a.node_id < d.node_id and d.post < a.post. Rows leave the worker as flat columns, some thousands at a time. A document
-    that fails has no rows (on_error='raise' to stop); parse names the reasons."""
+    that fails has one row, with nulls and the reason in parse_failure (on_error='raise' to stop)."""
     setup = replace(Options(**options), compiled=compile_edits(transforms), fragment=(fragment, "html") if isinstance(fragment, str) else fragment)
     source, label = _inputs(df, html_col, encoding_col)
     id_type = df.schema[id_col].dataType.simpleString()
     types = {c: _arrow(t) for c, t in NODE_FIELDS.items()}
 
-    def flat(ids: pa.Array, take: list[int], columns: dict[str, list]) -> pa.RecordBatch:
+    def flat(ids: pa.Array, take: list[int], columns: dict[str, list], failures: list[str | None]) -> pa.RecordBatch:
         made = []
         for c, values in columns.items():
             if c == "attrs":
-                offsets = [0, *accumulate(map(len, values))]
-                pairs = [(a["name"], a["value"]) for v in values for a in v]
+                offsets = [0, *accumulate(len(v or ()) for v in values)]
+                pairs = [(a["name"], a["value"]) for v in values for a in v or ()]
                 inner = pa.StructArray.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], ["name", "value"])
                 made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner).cast(types[c]))
             else:
                 made.append(pa.array(values, types[c]))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(take, pa.int64())), *made], ["id", *columns])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(take, pa.int64())), *made, pa.array(failures, pa.string())], ["id", *columns, "parse_failure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, columns = [], {c: [] for c in NODE_COLUMNS}
-            for i, (html, transport) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            take, columns, failures = [], {c: [] for c in NODE_COLUMNS}, []
+            for i in range(len(batch)):
+                failure = None
                 try:
-                    rows = Document(html, setup, transport).nodes()
-                except Exception:
+                    rows = Document(batch.column(1)[i].as_py(), setup, batch.column(2)[i].as_py()).nodes()
+                except Exception as e:
                     if on_error == "raise":
                         raise
-                    continue
-                take += [i] * len(rows["node_id"])
+                    rows, failure = dict.fromkeys(NODE_COLUMNS, [None]), f"{type(e).__name__}: {e}"
+                n = len(rows["node_id"])
+                take += [i] * n
+                failures += [failure] * n
                 for c, values in rows.items():
                     columns[c] += values
                 if len(take) >= NODE_ROWS:
-                    yield flat(batch.column(0), take, columns)
-                    take, columns = [], {c: [] for c in NODE_COLUMNS}
+                    yield flat(batch.column(0), take, columns, failures)
+                    take, columns, failures = [], {c: [] for c in NODE_COLUMNS}, []
             if take:
-                yield flat(batch.column(0), take, columns)
+                yield flat(batch.column(0), take, columns, failures)
 
-    made = df.select(F.col(f"`{id_col}`").alias("id"), source.alias("html"), label.alias("label")).mapInArrow(run, f"id {id_type}, " + ", ".join(f"{c} {t}" for c, t in NODE_FIELDS.items()))
+    made = df.select(F.col(f"`{id_col}`").alias("id"), source.alias("html"), label.alias("label")).mapInArrow(run, f"id {id_type}, " + ", ".join(f"{c} {t}" for c, t in NODE_FIELDS.items()) + ", parse_failure string")
     return made.withColumnRenamed("id", id_col)
 
 
 def tokens(df: DataFrame, id_col: str = "page_id", html_col: str = "html", **options) -> DataFrame:
-    """A row for each lexical token, without a tree."""
+    """A row for each lexical token, without a tree. initial_state and last_start_tag say where the lexer begins."""
     return _exploded(df, id_col, html_col, "tokens", options)
 
 
 def errors(df: DataFrame, id_col: str = "page_id", html_col: str = "html", **options) -> DataFrame:
     """A row for each diagnostic, in order of line and column."""
-    made = parse(df, html_col, outputs=("errors",), keep=(id_col,), **options)
-    return made.select(id_col, F.posexplode("errors").alias("seq", "r")).select(id_col, "seq", "r.*")
+    return _exploded(df, id_col, html_col, "errors", options, place="seq")

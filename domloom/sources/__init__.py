@@ -28,27 +28,42 @@ def write_rendered(df: DataFrame, column: str, path: str, *, mode: str = "errori
     df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").write.mode(mode).option("lineSep", "\n\n").text(path)
 
 
-def stored(df: DataFrame, label: str = "table") -> DataFrame:
-    """df written as Parquet in the folder that the cluster shares (spark.checkpoint.dir; one of our own only where that is
-    unset) and read back. For a nodes table that several selectors read: it is parsed once, and filters reach the files."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which the cluster shares. Where it is unset, a local session gets a temporary folder, as in tests;
+    on a cluster that would be a folder of one machine, so it is an error there."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="domloom-checkpoint-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """df written as Parquet in the folder that the cluster shares and read back. For a nodes table that several selectors
+    read: it is parsed once, and filters reach the files. It stays until its folder is deleted (see discard)."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> int:
+    """Delete the files of a table that stored wrote, once nothing reads it any more. How many there were."""
+    spark = df.sparkSession
+    root = shared_folder(spark).removeprefix("file:")
+    files = [f for f in df.inputFiles() if root in f]
+    for folder in {f.rsplit("/", 1)[0] for f in files}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(files)
 
 
-#: Bytes a core below which a table is dealt out: so small a table is a row group or two, and one core would read it all.
-SMALL = 4 << 20
+#: A session setting: the number of partitions that the named queries deal their tables over. Unset, files decide.
+PARTITIONS = "spark.domloom.partitions"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores if it is tiny (by the planner's estimate), else as it is. Streams are left alone."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < SMALL * cores else df
+def dealt(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session's setting says; as it is read where there is none."""
+    n = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(n)) if n else df

@@ -13,7 +13,7 @@ from .engine.policy import CSS_PRESET_TEXT, DEFAULT_DOCUMENT_POLICY, DEFAULT_POL
 from .functions.columns import sanitized_attrs
 from .operators import errors, matches_css, nodes, parse, query_html, select_css, tokens
 from .operators.select import attr
-from .sources import spread, stored
+from .sources import dealt, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{d}/pages.parquet"))
+    return dealt(spark.read.parquet(f"{d}/pages.parquet"))
 
 
 def page_nodes(spark: SparkSession, d: str, **options) -> DataFrame:
