@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder of our own only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="domloom-checkpoint-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
+from ..sources import shared_folder
 
 _written: list[str] = []
 
@@ -36,9 +24,9 @@ def sweep(spark: SparkSession) -> int:
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet below shared_root and read it back: lineage ends there, and a lost executor costs nothing."""
+    """Write df as Parquet below shared_folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import spread
+from ..sources import dealt
 from . import decontaminate, language, lines, minhash, oracles, quality, quality_rules, sentencepiece, substrings, token_counts, toxicity
 from ._pieces import default_path, pattern
 from ._store import durable, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table, dealt over all cores if it is tiny; larger ones are left as they are."""
-    return spread(table(spark, sf_dir, "documents"))
+    """The table, as files have it or as the session deals it (spark.domloom.partitions)."""
+    return dealt(table(spark, sf_dir, "documents"))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -436,10 +436,10 @@ def test_words(member):
 def test_tables_are_shared_and_swept(spark):
     from pathlib import Path
 
-    from domloom.llm._store import durable, shared_root, sweep
+    from domloom.llm._store import durable, shared_folder, sweep
 
     sweep(spark)
-    root = Path(shared_root(spark).removeprefix("file:"))
+    root = Path(shared_folder(spark).removeprefix("file:"))
     assert str(root) == spark.conf.get("spark.checkpoint.dir")
     assert durable(spark.range(3), "t").count() == 3 and list(root.glob("t-*"))
     assert sweep(spark) == 1 and not list(root.glob("t-*"))
