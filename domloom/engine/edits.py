@@ -460,7 +460,8 @@ class _Walk:
             if x.start > at:
                 nodes.append(Node("#text", data=n.data[at : x.start]))
             a = Node("a", ns, {"href": x.href})
-            a.append(Node("#text", data=x.text))
+            a.append(inner := Node("#text", data=x.text))
+            self.first[id(inner)] = k + 1  # what is a link now isn't looked through again, whatever tags are skipped
             nodes.append(a)
             at = x.end
         if at < len(n.data):

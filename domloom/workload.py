@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import cases
 from . import functions as fn
 from .engine import edits
 from .engine.policy import CSS_PRESET_TEXT, DEFAULT_DOCUMENT_POLICY, DEFAULT_POLICY, SanitizationPolicy, UrlPolicy, UrlRule
@@ -94,9 +95,7 @@ def comments(spark, d):
 
 @query("SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1, 's') AS code FROM pages")
 def script_text(spark, d):
-    n = page_nodes(spark, d)
-    code = n.where("name = '#text'").select("page_id", F.col("parent_id").alias("node_id"), F.col("data").alias("code"))
-    return n.where("name = 'script'").select("page_id", "node_id").join(code, ["page_id", "node_id"]).select("page_id", "code")
+    return page_nodes(spark, d).where("name = '#text' AND parent_name = 'script'").select("page_id", F.col("data").alias("code"))
 
 
 @query("SELECT page_id, 'no-quirks' AS quirks FROM pages")
@@ -144,6 +143,13 @@ def text_length_stats(spark, d):
 
 @query(LINKS)
 def css_descendant(spark, d):
+    """One pass over raw pages: matched where they are parsed."""
+    return query_html(pages(spark, d), "nav li a").select("page_id", F.col("attrs")["href"].alias("href"))
+
+
+@query(LINKS)
+def css_descendant_of_table(spark, d):
+    """The same over a stored nodes table, by joins."""
     return select_css(stored_nodes(spark, d), "nav li a").select("page_id", attr("href").alias("href"))
 
 
@@ -154,7 +160,7 @@ def css_child_class(spark, d):
 
 @query("SELECT page_id, unnest(list_filter(l, lambda x, i: i % 2 = 1)) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages)")
 def css_nth(spark, d):
-    return select_css(stored_nodes(spark, d), "nav li:nth-child(2n+1) > a").select("page_id", attr("href").alias("href"))
+    return query_html(pages(spark, d), "nav li:nth-child(2n+1) > a").select("page_id", F.col("attrs")["href"].alias("href"))
 
 
 @query("SELECT page_id, (len(regexp_extract_all(html, '<li>')) - 1)::BIGINT AS n FROM pages WHERE len(regexp_extract_all(html, '<li>')) > 1")
@@ -187,12 +193,8 @@ def internal_link_join(spark, d):
 
 @query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, 0::BIGINT AS n_meta FROM pages")
 def sanitized_attributes(spark, d):
-    clean = parse(pages(spark, d), outputs=("html",), keep=("page_id",), pretty=False).select("page_id", "html")
-    return page_nodes_of(clean).groupBy("page_id").agg(F.max(F.when(F.col("name") == "html", attr("lang"))).alias("lang"), F.count_if(F.col("name") == "meta").alias("n_meta"))
-
-
-def page_nodes_of(df: DataFrame) -> DataFrame:
-    return nodes(df, "page_id", "html")
+    """Attributes and tags that the default policy of documents leaves, in one parse."""
+    return nodes(pages(spark, d), "page_id", "html", transforms=[edits.Sanitize(policy=DEFAULT_DOCUMENT_POLICY)]).groupBy("page_id").agg(F.max(F.when(F.col("name") == "html", attr("lang"))).alias("lang"), F.count_if(F.col("name") == "meta").alias("n_meta"))
 
 
 @query("SELECT host, count(*)::BIGINT AS n FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages) GROUP BY host")
@@ -205,8 +207,8 @@ def url_hosts(spark, d):
 SELECT tag, sum(len(regexp_extract_all(html, '<' || tag || '[ >]')))::BIGINT AS n FROM p, s GROUP BY tag HAVING sum(len(regexp_extract_all(html, '<' || tag || '[ >]'))) > 0"""
 )
 def sanitize_tag_census(spark, d):
-    clean = parse(pages(spark, d), outputs=("html",), keep=("page_id",), pretty=False).select("page_id", "html")
-    return page_nodes_of(clean).where(F.col("name").isin("a", "li", "h1", "p", "ul", "div")).groupBy(F.col("name").alias("tag")).agg(F.count("*").alias("n"))
+    clean = nodes(pages(spark, d), "page_id", "html", transforms=[edits.Sanitize(policy=DEFAULT_DOCUMENT_POLICY)])
+    return clean.where(F.col("name").isin("a", "li", "h1", "p", "ul", "div")).groupBy(F.col("name").alias("tag")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT page_id, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>')) AS h FROM pages) GROUP BY page_id")
@@ -351,9 +353,13 @@ def udf_text(spark, d):
     return pages(spark, d).select("page_id", fn.html_to_text("html").alias("text"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES (1::INT, '<p class="x"><a href="https://a.example/1" rel="noopener">k</a><a rel="noopener">l</a></p>'), (2, 'y')) t(id, html)""")
 def strict_policies(spark, d):
     """Hosts, schemes, forced rel and a proxy on fragments, compact output."""
     policy = SanitizationPolicy(["a", "p"], {"*": ["class"], "a": ["href"]}, UrlPolicy(allow_rules={("a", "href"): UrlRule(allowed_schemes=["https"], allowed_hosts=["a.example"])}), force_link_rel=["noopener"])
     rows = [(1, "<p class=x onclick=y><a href='https://a.example/1'>k</a><a href='https://b.example'>l</a></p>"), (2, "<script>x</script><b>y</b>")]
     return spark.createDataFrame(rows, "id int, html string").select("id", fn.html_sanitize("html", policy).alias("html"))
+
+
+for _name, _query in cases.QUERIES.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _query, cases.sql(_name)
