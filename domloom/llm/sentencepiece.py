@@ -1,17 +1,20 @@
 """SentencePiece encoding as the shortest path through a weighted finite-state transducer, and decoding.
 
-The transducer is a composition of three machines. The normaliser rewrites characters (spaces become U+2581, a dummy prefix
-is put before the text). The piece machine is a trie whose final states emit a piece's id; a character that no piece covers
-goes through the byte arcs instead. The history machine weighs a piece by the one before it. In a unigram model a piece
-costs its negative log probability whatever stands before it. In a merge (BPE) model a pair of pieces costs nothing if
-merging the pair's text gives just that pair, and infinity otherwise: exactly one path over any text has a finite weight,
-and it is the one that the merges give. So the state of a place in the text is its one live path, and the shortest path is
-found by a search over the lazily composed lattice, in the tropical semiring (min, +).
+The transducer is a composition of three machines, each compiled from the model file. The normaliser rewrites characters: at
+each place the longest rule of the model's own compiled map applies, spaces become U+2581 and a dummy prefix is put before the
+text. The piece machine is a trie whose final states emit a piece's id; a character that no piece covers has an arc that emits
+its bytes' ids. The history machine weighs a piece by the one before it. In a unigram model a piece costs its negative log
+probability whatever stands before it. In a merge (BPE) model a pair of pieces costs nothing if merging the pair's text gives
+just that pair, and infinity otherwise: exactly one path over any text has a finite weight, and it is the one that the merges
+give. The shortest path is searched in the tropical semiring (min, +) over the lattice, which is composed as it is searched:
+place by place where arcs have costs of their own, and best first where all finite costs are equal, so that any path that
+arrives is shortest.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -29,6 +32,75 @@ CACHE = 300_000
 PAIRS = 400_000
 
 
+class Rules:
+    """The normaliser's compiled map: a double array over the bytes of what is rewritten, and the strings it becomes."""
+
+    def __init__(self, compiled: bytes):
+        size = struct.unpack("<I", compiled[:4])[0] if compiled else 0
+        self.units = np.frombuffer(compiled[4 : 4 + size], "<u4").tolist()
+        self.strings = compiled[4 + size :]
+        self.begins: dict[str, bool] = {}
+
+    def __bool__(self) -> bool:
+        return bool(self.units)
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 1 << 9) >> 6)
+
+    def longest(self, raw: bytes, at: int) -> tuple[int, str] | None:
+        """How many bytes the longest rule from a place takes, and what it makes of them."""
+        units, found = self.units, None
+        place = self._offset(units[0])
+        for n in range(at, len(raw)):
+            place ^= raw[n]
+            unit = units[place] if place < len(units) else 0
+            if unit & 0x800000FF != raw[n]:
+                break
+            place ^= self._offset(unit)
+            if unit >> 8 & 1:
+                start = units[place] & 0x7FFFFFFF
+                found = n + 1 - at, start
+        if found is None:
+            return None
+        n, start = found
+        return n, self.strings[start : self.strings.index(0, start)].decode()
+
+    def _may_begin(self, c: str) -> bool:
+        got = self.begins.get(c)
+        if got is None:
+            place, got = self._offset(self.units[0]), True
+            for b in c.encode():
+                place ^= b
+                unit = self.units[place] if place < len(self.units) else 0
+                if unit & 0x800000FF != b:
+                    got = False
+                    break
+                place ^= self._offset(unit)
+            self.begins[c] = got
+        return got
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """What each stretch of the text becomes: by the longest rule, or as it is."""
+        i, n = 0, len(text)
+        while i < n:
+            j = i
+            while j < n and not self._may_begin(text[j]):
+                j += 1
+            if j > i:
+                yield text[i:j]
+                i = j
+                continue
+            got = self.longest(text[i : i + 64].encode(), 0)
+            if got is None:
+                yield text[i]
+                i += 1
+            else:
+                taken, made = got
+                yield made
+                i += len(text[i : i + 64].encode()[:taken].decode())
+
+
 class Codec:
     """One model file compiled into a transducer. Encoding and decoding are deterministic; caches are of bounded size."""
 
@@ -39,23 +111,29 @@ class Codec:
         self.merges = trainer.get(3, 1) == 2
         self.text = [p for p, _, _ in pieces]
         self.kind = [k for _, _, k in pieces]
-        usable = {p: (i, s) for i, (p, s, k) in enumerate(pieces) if k in (NORMAL, USER)}
+        usable = {p: (i, s) for i, (p, s, k) in enumerate(pieces) if k == NORMAL}
         self.ids = {p: i for p, (i, _) in usable.items()}
         self.score = {p: s for p, (_, s) in usable.items()}
+        #: In single precision, as the library adds them up: ties fall the same way.
+        self.costs = {i: np.float32(-s) for i, s in usable.values()}
+        #: An arc that no piece covers costs ten more than the dearest piece.
+        self.dearest = max(self.costs.values(), default=np.float32(0)) + np.float32(10)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kind) if k == UNKNOWN), 0)
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        name = spec.get(1, b"identity").decode()
-        if name not in ("identity", "nfkc", "nmt_nfkc"):
-            raise ValueError(f"no normaliser for {name!r}")
-        self.compose = name != "identity"
+        #: What an arc emits, by its number: a piece its id, a character that no piece covers its bytes' ids or the unknown one.
+        self.emits: dict[int, tuple[int, ...]] = {}
+        if not spec.get(5, 1) or trainer.get(24, 0) or trainer.get(3, 1) not in (1, 2) or any(k == USER for k in self.kind):
+            raise ValueError("only unigram and merge models that mark words in front and have no user-defined pieces")
+        self.rules = Rules(spec.get(2, b""))
+        if not self.rules and spec.get(1, b"identity") != b"identity":
+            raise ValueError(f"the model file has no rules for its normaliser {spec[1].decode()!r}")
         self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
-        self.longest = max(map(len, self.ids), default=1)
         # Texts fall apart where no piece can cross: before a mark that follows other text, around characters that are in no
         # longer piece, and after a word before a sign, if pieces have no sign after a letter.
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         self.inner_mark = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.splits = self.prefix and not (self.squeeze or self.compose or self.inner_mark)
+        self.splits = self.prefix and not (self.squeeze or self.rules or self.inner_mark)
         alone = {c for c in map(chr, range(1, 128)) if c not in joined and not c.isalpha()}
         signs = self._signs() - alone
         one, two = (f"{''.join(map(re.escape, sorted(x)))}" for x in (alone, signs))
@@ -66,7 +144,7 @@ class Codec:
         #: Piece ids by text, and -1 for texts that only begin a piece: a walk from a place goes on while it finds anything.
         reached = {p: i for p, i in self.ids.items() if not self.merges or self._merge(p) == [p]}
         self.steps = {p[:n]: -1 for p in reached for n in range(1, len(p))} | reached
-        plain = [p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else bytes([self.byte_of[i]]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" for i, (p, k) in enumerate(zip(self.text, self.kind, strict=True))]
+        plain = [p.replace(SPACE, " ").encode() if k == NORMAL else bytes([self.byte_of[i]]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" for i, (p, k) in enumerate(zip(self.text, self.kind, strict=True))]
         self.plain = pa.array(plain, pa.large_binary())
 
     def _signs(self) -> set[str]:
@@ -81,11 +159,15 @@ class Codec:
         return signs
 
     def normalise(self, text: str) -> str:
-        if self.compose:
-            text = unicodedata.normalize("NFKC", text)
+        if not text:
+            return ""
+        if self.rules:
+            text = "".join(self.rules.pieces(text))
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
-        return SPACE + text.replace(" ", SPACE) if text and self.prefix else text.replace(" ", SPACE)
+            if not text:
+                return ""
+        return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
 
     def _merge(self, text: str) -> list[str]:
         """Merges by score, the leftmost of equals first; the definition that pairs are weighed by."""
@@ -162,32 +244,36 @@ class Codec:
                 out.pop()
         return out
 
-    def _path_unigram(self, text: str) -> list[int]:
+    def _path_costs(self, text: str) -> list[int]:
+        """The cheapest path, relaxed place by place; of equal ones the first found, which has the longer pieces in front."""
         n = len(text)
-        low = min(self.score.values(), default=0.0) - 10.0
-        cost, last = [0.0] + [float("inf")] * n, [""] * (n + 1)
+        cost, back = [np.float32(0)] + [np.float32(np.inf)] * n, [(0, 0)] * (n + 1)
         for s in range(n):
-            for e in range(s + 1, min(n, s + self.longest) + 1):
-                piece = text[s:e]
-                score = self.score.get(piece, low if e == s + 1 else None)
-                if score is not None and cost[s] - score < cost[e]:
-                    cost[e], last[e] = cost[s] - score, piece
+            for e, number in self._arcs(text, s):
+                c = cost[s] + self.costs.get(number, self.dearest)
+                if c < cost[e]:
+                    cost[e], back[e] = c, (s, number)
         out, e = [], n
         while e:
-            out.append(self.ids.get(last[e], len(self.text) + ord(last[e][0])))
-            e -= len(last[e])
+            e, number = back[e]
+            out.append(number)
         return out[::-1]
 
+    def _output(self, number: int) -> tuple[int, ...]:
+        """What the arc of a character that no piece covers emits."""
+        got = tuple(self.bytes[b] for b in chr(number - len(self.text)).encode()) if self.bytes else (self.unknown,)
+        self.emits[number] = got
+        return got
+
     def _emit(self, part: str) -> bytes:
-        """Ids of a part that no piece leaves, as 32-bit numbers."""
-        out: list[int] = []
-        for number in self._path_merges(part) if self.merges else self._path_unigram(part):
-            if number < len(self.text):
+        """Ids of a part that no piece leaves, as 32-bit numbers: what the arcs of its path emit."""
+        path = self._path_merges(part) if self.merges else self._path_costs(part)
+        out, size = [], len(self.text)
+        for number in path:
+            if number < size:
                 out.append(number)
-            elif self.bytes:
-                out += [self.bytes[b] for b in chr(number - len(self.text)).encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+            else:
+                out += self.emits.get(number) or self._output(number)
         raw = array("i", out).tobytes()
         if len(part) <= 64:
             if len(self.cache) >= CACHE:
@@ -197,13 +283,21 @@ class Codec:
 
     def _parts(self, text: str) -> bytes:
         get, emit = self.cache.get, self._emit
-        return b"".join([got if (got := get(p)) is not None else emit(p) for p in self.cut.findall(text)])
+        raw = b"".join([got if (got := get(p)) is not None else emit(p) for p in self.cut.findall(text)])
+        return raw if self.bytes else self._known(raw)
+
+    def _known(self, raw: bytes) -> bytes:
+        """Without byte pieces: unknown ids in a row are one."""
+        ids = np.frombuffer(raw, np.int32)
+        again = np.zeros(len(ids), bool)
+        again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[~again].tobytes()
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids of a whole text, as 32-bit numbers."""
         if not text:
             return b""
-        if not self.splits or text[0] == " " or "  " in text or SPACE in text:
+        if not self.splits or not self.bytes or text[0] == " " or "  " in text or SPACE in text:
             return self._parts(self.normalise(text))
         # Single spaces: words are parts with a mark before them, so the cache answers for most of them at once.
         get, parts = self.cache.get, self._parts
