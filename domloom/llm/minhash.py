@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,17 +54,20 @@ class Hasher:
 
 
 def _signatures(k: int, halves: int, rows: int):
+    """Rows (id, text) to the size of the set, a cryptographic digest of the sequence of lower-cased words, and the half-keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(halves, rows)
         for batch in batches:
-            n, one, two, keys = [], [], [], []
-            for s in shingle_sets(batch.column(1), k):
+            n, keys, digests = [], [], []
+            data, off = buffers(batch.column(1))
+            for r, s in enumerate(shingle_sets(batch.column(1), k)):
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    one.append(int(signed(np.array([mix(s + U(0x51)).sum(dtype=U)]))[0]))
-                    two.append(int(signed(np.array([mix(s ^ U(0xA7A7A7A7A7A7A7A7)).sum(dtype=U)]))[0]))
+                words = LOWER[data[off[r] : off[r + 1]]].tobytes().split()
+                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 keys.append(hasher.halfkeys(s) if len(s) else [])
-            arrays = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            halves_of = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            arrays = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(halves_of[:, 0]), pa.array(halves_of[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "d1", "d2", "keys"])
 
     return run
@@ -173,6 +177,26 @@ def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Members (bucket, one, two, node, comp) of buckets with several components, dealt into groups (bucket, x, y) that hold
+    each two members of different components together, and no more than two blocks.
+
+    A bucket's largest component is compared with the others alone, never with itself: its members go once to each block of the
+    others, and those to every block. So a bucket of a million with one stray costs about its size, and in general its size
+    times the number of blocks that lie outside its largest component.
+    """
+    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    members = placed.join(open_, "bucket")
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).select("bucket", F.col("top.comp").alias("main"), F.col("top.c").alias("most"), "all")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    members = members.join(main, "bucket").withColumn("inner", F.col("comp") == F.col("main")).withColumn("nm", blocks(F.col("most"))).withColumn("nr", blocks(F.col("all") - F.col("most")))
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    members = members.withColumn("mine", F.when(F.col("inner"), deal(F.col("nm"))).otherwise(F.col("nm") + deal(F.col("nr"))))
+    members = members.withColumn("other", F.explode(F.sequence(F.when(F.col("inner"), F.col("nm")).otherwise(F.lit(0)), F.col("nm") + F.col("nr") - 1)))
+    return members.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "one", "two", F.col("mine").alias("side"), "node", "comp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, kept.
 
@@ -181,11 +205,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable.
 
     Method. `halves` half-keys of `rows` minima each; every pair of half-keys is a table key, so halves * (halves - 1) / 2
-    tables of 2 * rows minima cost halves * rows hash functions. Exact copies of a set are one class from the start.
+    tables of 2 * rows minima cost halves * rows hash functions. Rows whose lower-cased words are the same sequence, by a
+    cryptographic digest of 128 bits, are one class from the start; every other link is confirmed on full sets.
     Half-keys that one class alone has can't lead to a partner and go first. In each bucket a pseudo-random pivot stands
     for the rest; up to HUBS pivots of a class are verified on full sets and components contracted. Then all pairs of a
     bucket that still lie in different components are compared, in blocks and by sketches inside the task, and the likely
-    ones verified on full sets. So a large bucket of similar documents costs about its size, not its square.
+    ones verified on full sets; a bucket's largest component isn't compared with itself. So a large bucket of similar documents
+    costs about its size, not its square.
     A pair at exactly 0.8 shares no table with a chance of 1.3e-5 (20 half-keys of 3), one at 0.85 of 3e-8.
 
     Edge cases. Null or wordless texts: n_shingles 0, linked with nothing, component_id their own id. Rows that share an id
@@ -223,11 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = components(links)
 
     placed = met.join(root, "node", "left").select("bucket", "one", "two", "node", F.coalesce("root", "node").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("bucket", "c")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rest = placed.join(open_, "bucket").select("bucket", "one", "two", "node", "comp", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("mine"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rest = rest.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "one", "two", F.col("mine").alias("side"), "node", "comp")
+    rest = _blocks(placed)
     sketches = texts.mapInArrow(_sketches(shingle, SKETCH), "node long, n int, sketch binary")
     sketches = sketches.join(classes.select("node", "keys"), "node")
     rest = rest.join(sketches, "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
