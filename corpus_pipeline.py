@@ -11,14 +11,22 @@ from domloom.llm._store import durable, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts 0 go. It is fitted on labelled rows of this stage's input, folds as in op7."""
+    """Documents that the classifier predicts 0 go. It is fitted on labelled rows of this stage's input, folds as in op7.
+
+    Edge cases. Null and empty texts are scored by the bias alone; rows are judged one by one, whether ids repeat or are null;
+    without labels every score is a half and all stay. An empty table stays empty. All columns of docs are kept as they are.
+    """
     train_on = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0, F.lit(False))
     weights, bias = quality.train(docs, table(spark, sf_dir, "labels"), train_on)
     return quality.keep(docs, weights, bias)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows go from the texts; a document that loses all of its lines goes."""
+    """Later occurrences of repeated three-line windows go from the texts; a document that loses all of its lines goes.
+
+    Edge cases. Null and empty texts have no lines and stay as they are. Rows without an id lose nothing and are no source; rows
+    that share an id are no repeats of one another. n_chars follows the text, null where the text is. An empty table stays empty.
+    """
     out = lines.remove_repeated_lines(docs)
     out = out.where(~((F.col("n_removed_lines") > 0) & (F.col("n_removed_lines") == F.col("n_lines"))))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -36,7 +44,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of each group of near duplicates (five-word shingles, similarity 0.8) one row stays: that of the smallest id.
 
     A row without an id stays only where its group has no id at all. Rows that share an id are told apart: they are copies
-    of one another by their texts alone.
+    of one another by their texts alone. Null, empty and wordless texts are copies of nothing and stay.
     """
     rows, row = numbered(docs)
     found = minhash.near_duplicates(rows, id_col=row, shingle=5, percent=80).select(row, "component_id")
@@ -47,14 +55,20 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold ten consecutive words of a benchmark item go, each by its own text, whether its id is null or repeated."""
+    """Rows that hold ten consecutive words of a benchmark item go, each by its own text, whether its id is null or repeated.
+
+    Edge cases. Null, empty and wordless texts hold nothing and stay; a benchmark without items takes nothing away.
+    """
     rows, row = numbered(docs)
     found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col=row, window=10)
     return rows.join(found.where("n_hit > 0").select(row), row, "left_anti").select(*docs.columns)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts, and whether decoding them gives the text back."""
+    """Token ids of the texts, and whether decoding them gives the text back.
+
+    Edge cases. Null and empty texts have no ids and decode to themselves; every row has its own, whether ids repeat or are null.
+    """
     out = sentencepiece.encode(docs.select("doc_id", "lang", "source", "text"), default_path("piece_bpe_32k.model"), check_col="round_trip")
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 

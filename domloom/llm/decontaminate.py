@@ -15,7 +15,6 @@ from .substrings import anchors
 
 GRAM = 5
 FILTER_BITS = 1 << 23
-MAX_LENGTHS = 64
 
 
 def _slots(prints: np.ndarray) -> list[np.ndarray]:

@@ -16,7 +16,6 @@ from ._store import durable
 
 SAMPLE = 600
 ROUNDS = 3
-MAX_PIECE = 12
 CACHE = 300_000
 LETTERS = re.compile(r"[^\W\d_]{1,32}")
 
@@ -131,7 +130,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, vocabu
     expected counts are gathered by Spark; the driver sees one number for each language and piece of the fixed vocabulary.
     """
     pieces = load_pieces(vocabulary)
-    pieces = {p: i for i, p in enumerate(sorted({x.lower() for x in pieces if len(x) <= MAX_PIECE and (x.lstrip("\u2581") == "" or LETTERS.fullmatch(x.lstrip("\u2581").lower()))}))}
+    pieces = {p: i for i, p in enumerate(sorted({x.lower() for x in pieces if (x.lstrip("\u2581") == "" or LETTERS.fullmatch(x.lstrip("\u2581").lower()))}))}
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
     ends = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     langs = sorted(r["lang"] for r in ends)
@@ -176,7 +175,9 @@ def identify(docs: DataFrame, train_on: Column, vocabulary: str, id_col: str = "
     and 1. Ties go to the first language by name. Prediction reads the text alone.
 
     Scale. One pass without a shuffle; models are broadcast, their size bounded by languages times the fixed vocabulary.
-    Edge cases. Null text, no letters, or nothing to learn from: 'und' and score 0. Labels that are null teach nothing.
+    Edge cases. Null text, no letters, or nothing to learn from: 'und' and score 0. Labels that are null teach nothing. Rows
+    are judged one by one, so repeated rows each get theirs, and an empty table gives none; other columns are ignored,
+    whatever their names. Texts of any length are read whole, 4,096 words at a time.
     """
     spark = docs.sparkSession
     langs, pieces, probabilities = train(docs.where(train_on), id_col, text_col, lang_col, vocabulary, sample=sample)

@@ -78,7 +78,8 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
     """docs' id_col and a score between 0 and 1: the logistic of a sparse dot product over the whole text.
 
     One pass, no shuffle; the broadcast is 2**bits floats. Null and empty texts have no features: the bias alone scores
-    them. Other columns are ignored; repeated rows each get their row.
+    them. Other columns are ignored, whatever their names; repeated rows each get their row, an empty table has none. Texts of any
+    length are read whole. Without labels all weights are 0 and every score is a half.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)

@@ -104,7 +104,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ru
     8-word windows; such a document isn't kept. The rules compile into one projection over the measures.
 
     Edge cases. Null and empty texts have no words and fail. Ties: bounds belong to the kept side. Rows are judged one by
-    one, so repeated rows each get theirs; other columns are ignored. Cost grows with a text's length, times its logarithm
+    one, so repeated rows each get theirs, and an empty table gives none; other columns are ignored. Cost grows with a text's length, times its logarithm
     for windows of a text that has repeats; texts of up to 2**27 words.
     """
     df = measures(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_in")), "_in")

@@ -27,8 +27,14 @@ def flat_blocks(docs: DataFrame, ranks_path: str, pattern: str, eod: int, id_col
 
     A file is what one task reads: each text's ids, then eod, as little-endian 16-bit numbers with nothing between and no
     index, cut every `block` bytes wherever that falls. ids has the documents that end in a block, to name the counts by;
-    the scan doesn't read it. Null texts have no tokens, and their separator all the same.
+    the scan doesn't read it. Null and empty texts have no tokens, and their separator all the same; texts of any length are
+    encoded whole and cut over blocks, repeated rows each have their document, an empty table has no blocks. A vocabulary whose
+    ids don't fit 16 bits, or an odd block size, is an error.
     """
+    if block < 2 or block % 2:
+        raise ValueError("a block holds whole ids of two bytes")
+    if not 0 <= eod < 1 << 16:
+        raise ValueError("the separator must fit 16 bits")
     id_type = docs.schema[id_col].dataType.simpleString()
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
@@ -43,8 +49,10 @@ def flat_blocks(docs: DataFrame, ranks_path: str, pattern: str, eod: int, id_col
 
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype("<u2")
-                raw = ids.tobytes() + eod.to_bytes(2, "little")
+                ids = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=())
+                if len(ids) and int(ids.max()) >> 16:
+                    raise ValueError("the vocabulary has ids that don't fit 16 bits")
+                raw = ids.astype("<u2").tobytes() + eod.to_bytes(2, "little")
                 while size + len(raw) >= block:
                     held.append(raw[: block - size])
                     done = size + len(raw) == block

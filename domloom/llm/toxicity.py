@@ -16,6 +16,8 @@ from .minhash import shingle_sets
 SAMPLE = 16_000
 EPOCHS = 400
 GRADES = 4
+#: Parts of the labelled texts; a text's grade comes from the model of the others.
+FOLDS = 5
 #: Of the marked words, the share that may be chance.
 FDR = 0.05
 #: Lengths in bytes of the word beginnings that are features.
@@ -113,11 +115,24 @@ def _one_of_copies(minima: list[list[int]], sets: list[np.ndarray]) -> np.ndarra
     return np.array(out, np.int64)
 
 
-def grades(index: list[np.ndarray], times: list[np.ndarray], toxic: np.ndarray, levels: int, bits: int) -> np.ndarray:
-    """Severity grades for labelled texts: 0 where the label is 0; 1 up to levels - 1 by how much marked language a text
-    with label 1 has, cut where it splits those texts evenly."""
-    odds = _markers(index, toxic, bits)
-    load = np.array([float(np.minimum(t, 8) @ odds[i]) for i, t in zip(index, times, strict=True)])
+def held_out_scores(index: list[np.ndarray], times: list[np.ndarray], toxic: np.ndarray, bits: int) -> np.ndarray:
+    """For each labelled text the score of a two-grade model fitted on the other FOLDS - 1 parts of the texts alone."""
+    out, part = np.zeros(len(toxic)), np.arange(len(toxic)) % FOLDS
+    for k in range(FOLDS):
+        own = np.flatnonzero(part != k)
+        useful = _markers([index[i] for i in own], toxic[own], bits) > 0
+        rows = [_row(index[i], times[i], useful) for i in own]
+        m = CumulativeLink.fit([i for i, _ in rows], [v for _, v in rows], toxic[own], 2, (1 << bits) + 2, useful=useful)
+        for i in np.flatnonzero(part == k):
+            out[i] = m.eta(index[i], times[i])
+    return out
+
+
+def grades(scores: np.ndarray, toxic: np.ndarray, levels: int) -> np.ndarray:
+    """Severity grades for labelled texts: 0 where the label is 0; 1 up to levels - 1 by the score that models which haven't seen
+    the text give it, cut where that splits the texts with label 1 evenly. So a grade isn't made of the words that the text
+    itself has marked."""
+    load = scores
     bad = toxic > 0
     out = np.zeros(len(toxic), np.int64)
     if bad.any():
@@ -206,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, label: str = "to
     index, times, toxic = arrays("index"), arrays("times"), (got.column("mark").to_numpy() > 0).astype(np.int64)
     one = _one_of_copies(got.column("minima").to_pylist(), arrays("shingles"))
     index, times, toxic = [index[i] for i in one], [times[i] for i in one], toxic[one]
-    grade = grades(index, times, toxic, levels, bits)
+    grade = grades(held_out_scores(index, times, toxic, bits), toxic, levels)
     useful = _markers(index, toxic, bits) > 0
     rows = [_row(i, t, useful) for i, t in zip(index, times, strict=True)]
     return CumulativeLink.fit([i for i, _ in rows], [v for _, v in rows], grade, levels, (1 << bits) + 2, useful=useful)
@@ -216,7 +231,8 @@ def severity(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", tex
     """One row per document: id_col, severity (expected grade), grade (the likeliest), toxic (P(grade > 0) >= 0.5).
 
     One pass without a shuffle; the broadcast is 2**bits floats. Null and wordless texts: severity by the thresholds alone,
-    which is that of a text without marked language. Other columns are ignored; repeated rows each get their row.
+    which is that of a text without marked language. Other columns are ignored, whatever their names; repeated rows each get
+    their row, an empty table has none. Of equally likely grades the lower one is given. Texts of any length are read whole.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.w, model.theta, model.useful))
