@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable, Collection, Mapping, Sequence
 from contextvars import ContextVar
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from ..plans.selectors import Selector, parse
 from . import links as _links
@@ -66,7 +67,7 @@ class Selected(Edit_):
         return parse(self.selector)
 
     def hits(self, n: Node) -> bool:
-        return n.name[0] != "#" and matches(n, self.test)
+        return n.name[0] != "#" and (self.selector == "*" or matches(n, self.test))
 
 
 class SetAttrs(Selected):
@@ -199,6 +200,11 @@ class Stage(Edit_):
     transforms: Sequence[object] = ()
 
 
+#: Edits that only take from attributes or change them: nodes without any are passed over.
+OF_ATTRIBUTES = (DropAttrs, AllowlistAttrs, DropUrlAttrs, AllowStyleAttrs)
+
+
+@lru_cache(maxsize=256)
 def glob(pattern: str) -> re.Pattern[str]:
     return re.compile("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern.lower()), re.DOTALL)
 
@@ -364,6 +370,8 @@ class _Walk:
         if isinstance(e, Judge):
             action, finding = e.verdict(n)
             return action == KEEP or self._decide(e, n, k, action, finding)
+        if isinstance(e, OF_ATTRIBUTES) and not n.attrs:
+            return True
         if not isinstance(e, Selected) or not e.hits(n):
             return True
         if isinstance(e, Decide):

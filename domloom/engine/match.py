@@ -74,6 +74,9 @@ class Changing(Tree):
         return None
 
 
+_CHANGING = Changing()
+
+
 def _before(n: Node, tree: Tree) -> Node | None:
     """The element sibling before."""
     if n.parent is None:
@@ -158,7 +161,8 @@ def _complex(n: Node, c: Complex, tree: Tree) -> bool:
 
 def matches(n: Node, selector: Selector | str, tree: Tree | None = None) -> bool:
     selector = parse(selector) if isinstance(selector, str) else selector
-    return any(_complex(n, c, tree or Changing()) for c in selector.options)
+    tree = tree or _CHANGING
+    return any(_complex(n, c, tree) for c in selector.options)
 
 
 def query(root: Node, css: str) -> list[Node]:
