@@ -148,6 +148,27 @@ def _extended():
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a row in order of their starts to the spans that they cover; runs that overlap or touch are one span. Linear."""
+    for batch in batches:
+        starts, lengths = batch.column(2), batch.column(3)
+        cut = starts.offsets.to_numpy()
+        begin, count = (c.values.to_numpy()[cut[0] : cut[-1]].astype(np.int64) for c in (starts, lengths))
+        cut = cut - cut[0]
+        # Rows laid end to end, with room between them, are one line of runs.
+        gap = int((begin + count).max(initial=0)) + 1
+        shift = np.repeat(np.arange(len(cut) - 1, dtype=np.int64) * gap, np.diff(cut))
+        reach = np.maximum.accumulate(begin + count + shift)
+        first = np.ones(len(begin), bool)
+        first[1:] = (begin + shift)[1:] > reach[:-1]
+        first[cut[:-1][np.diff(cut) > 0]] = True
+        heads = np.flatnonzero(first)
+        last = np.append(heads[1:], len(begin)) - 1
+        spans = pa.StructArray.from_arrays([pa.array((begin[heads]).astype(np.int32)), pa.array((reach[last] - shift[last]).astype(np.int32))], ["start", "end"])
+        bounds = np.searchsorted(heads, cut).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bounds), spans)], ["row", "items", "spans"])
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, window: int = 10, gram: int = GRAM) -> DataFrame:
     """One row per document: id_col, n_words, n_hit, items (sorted ids as strings), spans ([start, end) runs of hit words).
 
@@ -192,18 +213,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     matched = hits.join(found.select("print", "item", "whole", F.col("words").alias("theirs"), F.col("at").alias("there")), "print")
     spans_ = matched.select("row", "place", "mine", "at", "theirs", "there", "whole", "item").mapInArrow(_extended(), "row long, start int, n int, item string").distinct()
     hit = spans_.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("runs"), F.sort_array(F.collect_set("item")).alias("items"))
-    merged = F.aggregate(
-        "runs",
-        F.expr("cast(array() as array<struct<start:int,end:int>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["start"] + x["n"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), (x["start"] + x["n"]).alias("end"))))),
-    )
-    hit = hit.select("row", "items", merged.alias("spans"))
+    hit = hit.select("row", "items", F.col("runs.start").alias("start"), F.col("runs.n").alias("n")).mapInArrow(_merged, "row long, items array<string>, spans array<struct<start:int,end:int>>")
     none = F.expr("cast(array() as array<string>)")
     out = rows.select("row", "id", "n_words").join(hit, "row", "left")
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"]), F.lit(0).cast("long"))

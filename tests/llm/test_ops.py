@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,23 @@ def test_lines(spark):
 # ---- quality rules
 
 
+def test_decontamination_merges_runs():
+    """Against marking word by word: rows without runs, runs inside others, touching and apart; then 200,000 runs of one row."""
+    rng = random.Random(7)
+    rows = [sorted((rng.randrange(60), rng.randrange(1, 12)) for _ in range(rng.randrange(9))) for _ in range(300)]
+    rows.append([(3 * i, 2) for i in range(200_000)])
+    pairs = pa.array([[{"start": a, "n": n} for a, n in r] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))
+    part = lambda k: pa.ListArray.from_arrays(pairs.offsets, pairs.flatten().field(k))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([[]] * len(rows), pa.list_(pa.string())), part("start"), part("n")], ["row", "items", "start", "n"])
+    for cut in (batch, batch.slice(5, 20), batch.slice(0, 0)):
+        got = pa.Table.from_batches(list(decontaminate._merged(iter([cut])))).to_pylist()
+        assert [x["row"] for x in got] == cut.column(0).to_pylist()
+        for x in got:
+            words = {i for a, n in rows[x["row"]] for i in range(a, a + n)}
+            assert {i for s in x["spans"] for i in range(s["start"], s["end"])} == words
+            assert all(a["end"] < b["start"] for a, b in zip(x["spans"], x["spans"][1:]))
+
+
 def test_quality_rules(spark):
     r = random.Random(6)
     texts = [t for _, t in corpus(6, vocabulary=5)] + ["the of and\n" * 40, "# * $ & | < >" * 9, "a b c d e f g h " * 5 + "z"]
