@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
+WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -55,16 +56,55 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def _stripped(side: str, value: Column) -> Column:
+    """value without WHITE at its ends: `btrim`, `ltrim` or `rtrim`."""
+    return F.call_function(side, value, F.lit(WHITE)) if side == "btrim" else getattr(F, side)(value, F.lit(WHITE))
+
+
+def _with_later(hashes: str, step: int) -> Column:
+    """Each hash but the last `step`, hashed with the one `step` places later."""
+    return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - step, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(hashes, i + step)))
+
+
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the measures that rules read. Each step is one projection; no shuffle, no user function."""
+    """docs with the measures that rules read. A few projections; no shuffle, no user function.
+
+    A projection that holds functions of array elements copies every column that it hands on, so measures of one depth share one.
+    Lines are tested by their ends, without patterns. A window's hash is doubled up from those of two, four and eight words.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.withColumn("_text", text)
-    df = df.withColumn("_words", F.filter(F.split("_text", WORD_SPLIT), lambda w: w != ""))
-    df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = df.withColumn("n_words", F.size("_words").cast("long"))
-    hashed = F.transform("_words", lambda w: F.xxhash64(w))
-    df = df.withColumn("_wh", hashed)
-    df = df.withColumn("_h", F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_wh") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_wh", i, WINDOW)))))
+    df = docs.withColumn("_text", text).withColumn("_inner", _stripped("btrim", F.col("_text")))
+    df = df.withColumns(
+        {
+            "_words": F.when(F.col("_inner") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("_inner", WORD_SPLIT)),
+            "_lines": F.filter(F.split("_text", "\n"), lambda x: _stripped("ltrim", x) != ""),
+            "_runs": F.split(F.lower("_text"), r"[^\p{L}]+"),
+            "_upper": F.length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")),
+            "n_symbols": (F.length("_text") - F.length(F.regexp_replace("_text", f"[{SYMBOLS}]+", ""))).cast("long"),
+        }
+    )
+    n_words, n_lines, word_chars = F.size("_words").cast("long"), F.size("_lines"), F.length(F.array_join("_words", "")).cast("long")
+    n_dup_lines = (n_lines - F.size(F.array_distinct("_lines"))).cast("long")
+    bullet = lambda x: _stripped("ltrim", x).substr(1, 1).isin("-", "*", "•")
+    dots = lambda x: _stripped("rtrim", x).endswith("...") | _stripped("rtrim", x).endswith("…")
+    df = df.withColumns(
+        {
+            "n_words": n_words,
+            "word_chars": word_chars,
+            "n_dup_lines": n_dup_lines,
+            "n_stop_words": F.size(F.array_intersect("_runs", F.array(*map(F.lit, sorted(set(STOP_WORDS)))))),
+            "upper_ratio": _share(F.col("_upper"), F.length(F.array_join("_runs", ""))),
+            "alpha_word_ratio": _share(F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))), n_words),
+            "mean_word_chars": _share(word_chars, n_words),
+            "symbol_ratio": _share(F.col("n_symbols"), n_words),
+            "dup_line_ratio": _share(n_dup_lines, n_lines),
+            "bullet_line_ratio": _share(F.size(F.filter("_lines", bullet)), n_lines),
+            "ellipsis_line_ratio": _share(F.size(F.filter("_lines", dots)), n_lines),
+            "_h": F.when(n_words >= WINDOW, F.transform("_words", lambda w: F.xxhash64(w))),
+        }
+    )
+    for step in (1, 2, 4):
+        df = df.withColumn("_h", _with_later("_h", step))
     # Pack: 37 leading bits of the hash, 27 bits of the place. Equal hashes end up side by side.
     df = df.withColumn("_packed", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda h, i: h.bitwiseAND(F.lit(-(1 << 27))).bitwiseOR(i.cast("long"))))))
     top = lambda x: F.shiftright(x, 27)
@@ -79,22 +119,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.aggregate(
         F.transform("_at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", i + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda acc, x: acc + x
     )
-    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
-    n_lines = F.size("_lines")
-    df = df.withColumn("word_chars", F.length(F.regexp_replace("_text", WORD_SPLIT, "")).cast("long"))
-    df = df.withColumn("n_symbols", (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"))
-    df = df.withColumn("n_dup_lines", (n_lines - F.size(F.array_distinct("_lines"))).cast("long"))
-    stop = F.array(*map(F.lit, sorted(set(STOP_WORDS))))
-    df = df.withColumn("n_stop_words", F.size(F.array_intersect(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+")), stop)))
-    letters = F.length(F.regexp_replace("_text", r"[^\p{L}]+", ""))
-    upper = F.length(F.regexp_replace("_text", r"[^\p{Lu}]+", ""))
-    df = df.withColumn("_letters", letters).withColumn("upper_ratio", _share(upper, F.col("_letters")))
-    df = df.withColumn("alpha_word_ratio", _share(F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))), F.col("n_words")))
-    df = df.withColumn("mean_word_chars", _share(F.col("word_chars"), F.col("n_words")))
-    df = df.withColumn("symbol_ratio", _share(F.col("n_symbols"), F.col("n_words")))
-    df = df.withColumn("dup_line_ratio", _share(F.col("n_dup_lines"), n_lines))
-    df = df.withColumn("bullet_line_ratio", _share(F.size(F.filter("_lines", lambda x: x.rlike(r"^\s*[-*•]"))), n_lines))
-    return df.withColumn("ellipsis_line_ratio", _share(F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))), n_lines))
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
