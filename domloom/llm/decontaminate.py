@@ -163,7 +163,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[1:] = (begin + shift)[1:] > reach[:-1]
         first[cut[:-1][np.diff(cut) > 0]] = True
         heads = np.flatnonzero(first)
-        last = np.append(heads[1:], len(begin)) - 1
+        last = np.append(heads, len(begin))[1:] - 1
         spans = pa.StructArray.from_arrays([pa.array((begin[heads]).astype(np.int32)), pa.array((reach[last] - shift[last]).astype(np.int32))], ["start", "end"])
         bounds = np.searchsorted(heads, cut).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bounds), spans)], ["row", "items", "spans"])
