@@ -49,8 +49,9 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows, row = numbered(docs)
     found = minhash.near_duplicates(rows, id_col=row, shingle=5, percent=80).select(row, "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
-    first = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order)[row].alias("first"))
-    gone = found.join(first, "component_id").where(F.col(row) != F.col("first")).select(row)
+    # One row a group, by partial aggregates; what isn't it goes, by a join on the row, so no group meets in one task.
+    first = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order)[row].alias(row)).select(row)
+    gone = found.select(row).join(first, row, "left_anti")
     return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
