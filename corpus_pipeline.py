@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from domloom.llm import decontaminate, lines, minhash, quality, sentencepiece
 from domloom.llm._pieces import default_path
-from domloom.llm._store import durable, table
+from domloom.llm._store import durable, sweep, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,8 +87,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, in order."""
+    """The stages over documents, in order. Once a stage is written, the tables that it read or made on the way are deleted."""
     docs = table(spark, sf_dir, "documents")
+    start = written()
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        out = stage(spark, docs, sf_dir)
+        end = written()
+        docs = durable(out, name)
+        sweep(spark, start, end)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,16 +11,22 @@ from ..sources import shared_folder
 _written: list[str] = []
 
 
-def sweep(spark: SparkSession) -> int:
-    """Delete the tables that durable wrote in this process, once the results that read them are written. Their number."""
+def written() -> int:
+    """How many tables durable has written in this process and sweep has left."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, start: int = 0, end: int | None = None) -> int:
+    """Delete the tables that durable wrote in this process, once the results that read them are written: all, or those
+    between two values of written(). Their number."""
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
-    for path in _written:
+    gone = _written[start:end]
+    for path in gone:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-    n = len(_written)
-    _written.clear()
-    return n
+    del _written[start:end]
+    return len(gone)
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from domloom.llm import decontaminate, minhash
-from domloom.llm._store import durable
+from domloom.llm._store import durable, written
 
 
 def test_stages(spark, data):
@@ -35,7 +35,9 @@ def test_stages(spark, data):
 
 
 def test_run(spark, data):
+    before = written()
     out = P.run(spark, data)
+    assert written() == before + 1  # the last written stage, which out reads; all else is deleted
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
     assert out.where(F.size("ids") != F.col("n_tokens")).count() == 0
 
