@@ -49,6 +49,7 @@ def word_grams(column: pa.Array, bits: int = BITS, shapes: bool = True) -> Itera
             tokens, shape = RINGS[1].words(raw, s, e), _shapes(raw, s, e)
             again = np.zeros(len(tokens), U)
             again[1:] = tokens[1:] == tokens[:-1]
+            again[f[:-1][f[:-1] < len(tokens)]] = 0  # a row's first token repeats none of the row before
             one = shape * U(2) + again
             grams = [mix(one + U(0x100000))]
             for n in (2, 3):

@@ -41,36 +41,57 @@ def sigmoid(x: float) -> float:
     return float(1.0 / (1.0 + np.exp(-min(max(x, -35.0), 35.0))))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, id_col: str, text_col: str, sample: int, bits: int, shapes: bool) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Features and labels of about `sample` labelled rows, in an order that their hashed ids fix. Bounded by sample."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, id_col: str, text_col: str, sample: int, bits: int, shapes: bool) -> DataFrame:
+    """Features and labels (h, mark, t, index, value) of about `sample` labelled rows; their order by h, mark and t, hashes of
+    id and text, is fixed. Bounded by sample."""
     marked = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(label).cast("double").alias("mark"))
     marked = marked.select("key", "mark", F.xxhash64(F.col("key").cast("string")).alias("h"))
     count = marked.count()
     below = (1 << 63) - 1 if count <= sample else int(sample / count * 2.0**64) - (1 << 63)
-    chosen = docs.where(train_on & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).join(marked.where(F.col("h") <= below), "key").select("h", "mark", "text")
+    chosen = docs.where(train_on & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).join(marked.where(F.col("h") <= below), "key")
+    chosen = chosen.select("h", "mark", F.xxhash64("text").alias("t"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, value = [], []
-            for i, v in word_grams(batch.column(2), bits, shapes):
+            for i, v in word_grams(batch.column(3), bits, shapes):
                 index.append(i)
                 value.append(v.astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["h", "mark", "index", "value"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["h", "mark", "t", "index", "value"])
 
-    got = chosen.mapInArrow(run, "h long, mark double, index array<int>, value array<float>").toArrow().sort_by([("h", "ascending"), ("mark", "ascending")])
-    arrays = lambda c, t: [np.asarray(x.values.to_numpy(zero_copy_only=False), t) for x in got.column(c)]
-    return arrays("index", np.int64), arrays("value", np.float64), got.column("mark").to_numpy()
+    return chosen.mapInArrow(run, "h long, mark double, t long, index array<int>, value array<float>")
+
+
+def _fitted(epochs: int, bits: int):
+    """Rows (mark, index, value), all of the sample in one task, to one row: the model's weights, the bias last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, index, value = [], [], []
+        for batch in batches:
+            marks += batch.column(0).to_pylist()
+            # Views of the batch's own buffers: the sample is held once.
+            for rows, column in ((index, batch.column(1)), (value, batch.column(2))):
+                cut = column.offsets.to_numpy()
+                rows += np.split(column.values.to_numpy()[: cut[-1]], cut[:-1])[1:]
+        model = Ftrl((1 << bits) + 1)
+        bias = np.array([1 << bits])
+        for _ in range(epochs):
+            for i, v, y in zip(index, value, marks, strict=True):
+                model.update(np.concatenate([i.astype(np.int64), bias]), np.append(v.astype(np.float64), 1.0), float(y > 0))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f8").tobytes()], pa.binary())], ["weights"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, train_on: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE, epochs: int = EPOCHS, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Weights and bias from about `sample` labelled rows where train_on holds; the bound is on rows, each read whole."""
-    index, value, marks = sampled(docs, labels, label, train_on, id_col, text_col, sample, bits, True)
-    model = Ftrl((1 << bits) + 1)
-    bias = np.array([1 << bits])
-    for _ in range(epochs):
-        for i, v, y in zip(index, value, marks, strict=True):
-            model.update(np.concatenate([i, bias]), np.append(v, 1.0), float(y > 0))
-    w = model.weights()
+    """Weights and bias from about `sample` labelled rows where train_on holds; the bound is on rows, each read whole.
+
+    The updates follow one another, so one task makes them all, on an executor: the driver gets the weights alone, whatever
+    the size of the sample and its texts.
+    """
+    rows = sampled(docs, labels, label, train_on, id_col, text_col, sample, bits, True)
+    got = rows.repartition(1).sortWithinPartitions("h", "mark", "t").select("mark", "index", "value").mapInArrow(_fitted(epochs, bits), "weights binary").toArrow()
+    w = np.frombuffer(got.column(0)[0].as_py(), "<f8") if len(got) else np.zeros((1 << bits) + 1)
     return w[:-1].astype(np.float32), float(w[-1])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from domloom.llm import decontaminate, language, lines, minhash, quality, quality_rules, sentencepiece, substrings, token_counts, toxicity
 from domloom.llm import queries as Q
+from domloom.llm._features import word_grams
 from domloom.llm._graph import components
 from domloom.llm._pieces import default_path, pattern
 from domloom.llm._words import ALNUM, RINGS, SPACE, buffers, spans
@@ -315,6 +316,42 @@ def test_quality(spark):
     assert not none.any() and b == 0
 
 
+def test_features_of_a_row_are_its_own():
+    """A text has the same features alone and behind any other, one that ends with its first word and empty ones among them."""
+    texts = ["same same", "same word", "", None, "word", "Word! 1", ""]
+    both = list(word_grams(pa.array(texts)))
+    for text, (index, value) in zip(texts, both, strict=True):
+        ((i, v),) = word_grams(pa.array([text], pa.string()))
+        assert np.array_equal(i, index) and np.array_equal(v, value)
+
+
+def test_quality_fit_sends_the_driver_no_rows(spark, monkeypatch):
+    """The sample is fitted on in a task: what reaches the driver is one row of weights, the same that updates one by one give."""
+    docs, labels, _ = labelled(spark)
+    train_on = F.col("doc_id") % 5 != 0
+    sent = []
+    for name in ("toArrow", "toPandas", "collect"):
+        monkeypatch.setattr(type(docs), name, lambda self, f=getattr(type(docs), name): (sent.append(len(out := f(self))), out)[1])
+    weights, bias = quality.train(docs, labels, train_on)
+    assert sum(sent) <= 2
+    monkeypatch.undo()
+    chosen = quality.sampled(docs, labels, "quality", train_on, "doc_id", "text", quality.SAMPLE, quality.BITS, True).toArrow().sort_by([("h", "ascending"), ("mark", "ascending"), ("t", "ascending")]).to_pylist()
+    model = quality.Ftrl((1 << quality.BITS) + 1)
+    for _ in range(quality.EPOCHS):
+        for x in chosen:
+            model.update(np.array([*x["index"], 1 << quality.BITS]), np.array([*x["value"], 1.0]), x["mark"])
+    assert len(chosen) > 300
+    assert np.allclose(weights, model.weights()[:-1], atol=1e-6) and np.isclose(bias, model.weights()[-1])
+
+
+def test_quality_fit_of_repeated_ids(spark):
+    """Rows that share an id are fitted on in the same order, however the table is dealt."""
+    docs, labels, _ = labelled(spark)
+    docs = docs.withColumn("doc_id", F.col("doc_id") % 40)
+    one, two = (quality.train(docs.repartition(n, F.xxhash64("text")), labels, F.lit(True)) for n in (1, 7))
+    assert np.array_equal(one[0], two[0]) and np.isclose(one[1], two[1])
+
+
 def test_toxicity(spark):
     docs, labels, truth = labelled(spark)
     model = toxicity.train(docs, labels, F.col("doc_id") % 5 != 0)
