@@ -32,9 +32,9 @@ SLICE = 64
 NODE_ROWS = 20_000
 
 
-def _tokens(source: str, state: str = "data", raw_tag: str = "") -> list[dict]:
+def _tokens(source: str, state: str = "data", raw_tag: str = "", open_references: bool = True) -> list[dict]:
     out = []
-    for i, t in enumerate(stream(source, state, raw_tag)):
+    for i, t in enumerate(stream(source, state, raw_tag, open_references)):
         name, public, system, _ = t.doctype or (t.name or None, None, None, False)
         out.append({"seq": i, "kind": t.kind, "name": name, "attrs": [{"name": k, "value": v} for k, v in t.attrs.items()], "data": t.data if t.kind in ("text", "comment") else None, "public_id": public, "system_id": system, "self_closing": t.self_closing})
     return out
@@ -48,7 +48,7 @@ def _make(output: str, doc: Document, source) -> object:
     if output == "nodes":
         return _rows(doc.nodes())
     if output == "tokens":
-        return _tokens(doc.lexer.s, doc.options.initial_state, doc.options.last_start_tag)
+        return _tokens(doc.lexer.s, doc.options.initial_state, doc.options.last_start_tag, doc.options.open_references)
     value = getattr(doc, output)
     return value() if callable(value) else value
 

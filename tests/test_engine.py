@@ -207,3 +207,12 @@ def test_node_api():
     assert compact(root) == "<s></s><u></u>"
     copy = fragment("<template><b>x</b></template>").clone(deep=True)
     assert compact(copy) == "<template><b>x</b></template>"
+
+
+def test_references_without_semicolon():
+    html = "<title>a&amp</title><p title='&lt &lt; &#60'>&ampb; &amp;&amp &#65;&#65 &notit;"
+    closed, standard = Document(html, Options(open_references=False, collect_errors=True)), Document(html, Options(collect_errors=True))
+    assert closed.text() == "a&amp &ampb; &&amp A&#65 &notit;" and standard.text() == "a& &b; && AA ¬it;"
+    assert [query(d.root, "p")[0].attrs["title"] for d in (closed, standard)] == ["&lt < &#60", "< < <"]
+    assert closed.errors == standard.errors
+    assert [t.data for t in stream("<p>&amp", open_references=False) if t.kind == "text"] == ["&amp"]
